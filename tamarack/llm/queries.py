@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.llm import mixing
+from tamarack.llm import mixing, simhash
 
-MODULES = (mixing,)
+MODULES = (mixing, simhash)
 
 
 def queries():
