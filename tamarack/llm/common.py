@@ -61,12 +61,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     minimum is partially aggregated, and the join back to its links is one that AQE can split.
     Nodes without an edge are not returned. Nulls never link.
     """
-    spark = edges.sparkSession
+    spent: list[DataFrame] = []
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        j = both.join(least.select("u", F.least("u", "m").alias("m")), "u")
+        # Written, so that both sides of the join are plain exchanges and a hub's links can be split.
+        least = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
+        spent.append(least)
+        j = both.join(least, "u")
         if large:
             out = j.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -81,7 +83,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         seen = (sign["n"], sign["s"])
         nxt = table(star(star(cur, True), False), "cc")
-        drop_table(cur)
+        for old in (cur, *spent):
+            drop_table(old)
+        spent.clear()
         cur = nxt
     else:
         raise RuntimeError("components did not settle")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.llm import mixing, simhash
+from tamarack.llm import linededup, mixing, simhash
 
-MODULES = (mixing, simhash)
+MODULES = (mixing, simhash, linededup)
 
 
 def queries():
