@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.llm import linededup, mixing, simhash
+from tamarack.llm import linededup, mixing, pieces, simhash
 
-MODULES = (mixing, simhash, linededup)
+MODULES = (mixing, simhash, linededup, pieces)
 
 
 def queries():
