@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.llm import linededup, mixing, pieces, simhash
+from tamarack.llm import linededup, mixing, pieces, quality, simhash
 
-MODULES = (mixing, simhash, linededup, pieces)
+MODULES = (mixing, simhash, linededup, pieces, quality)
 
 
 def queries():
