@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamarack.llm.common import release, table
+from tamarack.llm.common import drop_table, release, table
 
 #: Words below which a line has no near lines, only exact copies.
 MIN_WORDS = 5
@@ -174,15 +174,22 @@ def kept_lines(docs: DataFrame, max_edits: int = 1) -> DataFrame:
         by_gap = table(same.groupBy("key", "gap").agg(F.min(_pos()).alias("e"), F.count("*").alias("c")).where("c > 1").select("key", "gap", "e"), "least")
         by_short = table(short.groupBy("key").agg(F.min(_pos()).alias("e")), "least")
         by_long = table(same.join(short.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(_pos()).alias("e")), "least")
+        release(spark)
         pairs = same.join(by_gap, ["key", "gap"]).where(_pos() > F.col("e")).select("doc_id", "th", "line", "e")
         pairs = pairs.unionAll(same.join(by_short, "key").where(_pos() > F.col("e")).select("doc_id", "th", "line", "e"))
         pairs = pairs.unionAll(short.join(by_long, "key").where(_pos() > F.col("e")).select("doc_id", "th", "line", "e"))
-        pairs = pairs.distinct().select("doc_id", "th", "line", F.col("e.doc_id").alias("ed"), F.col("e.th").alias("et"), F.col("e.line").alias("el"))
+        pairs = table(pairs.distinct(), "pair")
+        release(spark)
+        pairs = pairs.select("doc_id", "th", "line", F.col("e.doc_id").alias("ed"), F.col("e.th").alias("et"), F.col("e.line").alias("el"))
         mine = words.select(*[F.col(c).alias("m_" + c) for c in ("doc_id", "th", "line", "words")])
         other = words.select(*[F.col(c).alias("o_" + c) for c in ("doc_id", "th", "line", "words")])
         pairs = pairs.join(mine, F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("th") == F.col("m_th")) & (F.col("line") == F.col("m_line")))
         pairs = pairs.join(other, F.col("ed").eqNullSafe(F.col("o_doc_id")) & (F.col("et") == F.col("o_th")) & (F.col("el") == F.col("o_line")))
         near = pairs.select("doc_id", "th", "line", "m_words", "o_words").mapInArrow(_verified, "doc_id long, th long, line int")
+        near = table(near, "near")
+        drop_table(v)
+        drop_table(words)
+        release(spark)
         rows = rows.unionAll(near.select("doc_id", "th", "line", F.lit(True)))
     return rows.groupBy("doc_id", "th").agg(F.collect_set(F.when(~F.col("near"), F.col("line"))).alias("keep"), F.collect_set(F.when(F.col("near"), F.col("line"))).alias("near"))
 
