@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.llm import linededup, mixing, pieces, quality, simhash
+from tamarack.llm import linededup, mixing, pieces, quality, rules, simhash
 
-MODULES = (mixing, simhash, linededup, pieces, quality)
+MODULES = (mixing, simhash, linededup, pieces, quality, rules)
 
 
 def queries():
