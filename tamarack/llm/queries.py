@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.llm import langid, linededup, mixing, pieces, quality, rules, simhash
+from tamarack.llm import katz, langid, linededup, mixing, pieces, quality, rules, simhash
 
-MODULES = (mixing, simhash, linededup, pieces, quality, rules, langid)
+MODULES = (mixing, simhash, linededup, pieces, quality, rules, langid, katz)
 
 
 def queries():
