@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.llm import chat, katz, langid, linededup, mixing, pieces, quality, rules, simhash
+from tamarack.llm import chat, covertree, katz, langid, linededup, mixing, pieces, quality, rules, simhash
 
-MODULES = (mixing, simhash, linededup, pieces, quality, rules, langid, katz, chat)
+MODULES = (mixing, simhash, linededup, pieces, quality, rules, langid, katz, chat, covertree)
 
 
 def queries():
