@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from tamarack.plans import detect
 
-
-def suspicious_literal_scan(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", "url").where(F.col("url").contains("http"))
+MODULES = (detect,)
 
 
 def queries():
-    return {"suspicious_literal_scan": suspicious_literal_scan}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {"suspicious_literal_scan": "SELECT page_id, url FROM pages WHERE contains(url, 'http')"}
+    return {k: s for m in MODULES for k, s in m.ORACLES.items()}
