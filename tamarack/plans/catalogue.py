@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.plans import detect
+from tamarack.plans import detect, relational
 
-MODULES = (detect,)
+MODULES = (detect, relational)
 
 
 def queries():
