@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +51,6 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def row_binary(table_batch, name: str) -> list:
-    """Column of an Arrow batch as Python values."""
-    return table_batch.column(table_batch.schema.get_field_index(name)).to_pylist()
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (u long, v long): rows (node, component), component the least node.
 
@@ -91,3 +88,34 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = cur.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+
+
+def trim_memory() -> None:
+    """Give freed memory of this Python process back: Arrow's pool, then the C library's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run, rows: int | None = None):
+    """A mapInArrow function whose worker, kept for later tasks, gives its memory back at the end of a task.
+
+    rows: batches are cut into slices of so many rows, so that few texts are Python objects at a time.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(slices(batches, rows) if rows else batches)
+        finally:
+            trim_memory()
+
+    return wrapped
+
+
+def slices(batches, rows: int):
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamarack.llm.common import tidy
+
 BITS = 16
 #: Least mean log ratio of a document that is kept.
 THRESHOLD = -0.2
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
-#: Words whose hashes are kept from text to text.
-KEPT = 400_000
+#: Words whose hashes are kept from text to text; bits of a slot in the bitmap of trusted ids.
+KEPT, SLOTS = 400_000, 22
 
 _NOT_SYMBOL = bytes(c for c in range(256) if c not in SYMBOLS)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -96,34 +98,75 @@ def counts(text: bytes, words: list[bytes], h: np.ndarray) -> tuple[int, int, in
 
 
 def _counted(batches):
-    """Rows (trusted, bucket, n): the batch's n-grams by bucket, of the raw corpus and of trusted texts."""
+    """Rows (bucket, n): the n-grams of a task's texts by bucket."""
     words = Words()
-    total = np.zeros((2, 1 << BITS), np.int64)
+    total = np.zeros(1 << BITS, np.int64)
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            if w := (text or b"").lower().split():
+                np.add.at(total, buckets(words.hashes(w)), 1)
+    at = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+
+
+def multinomial(texts: DataFrame) -> np.ndarray:
+    """n-grams of all texts (text binary) by bucket: 2^BITS numbers, whatever the input."""
+    summed = texts.select("text").mapInArrow(tidy(_counted, 1000), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << BITS)
+    np.add.at(total, summed["bucket"].to_numpy(), summed["n"].to_numpy())
+    return total
+
+
+def _maybe_trusted(held):
+    """Rows whose doc_id (column 0) may be trusted by the bitmap."""
+
+    def run(batches):
+        bits = np.frombuffer(held.value, np.uint8)
+        for b in batches:
+            ids = b.column(0).fill_null(0).to_numpy().view(np.uint64)
+            slot = _slot(ids)
+            ok = (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)
+            yield b.filter(pa.array(ok))
+
+    return run
+
+
+def _slot(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (ids * _MULT >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+def _slots(batches):
+    """Bitmap words that a task's ids set: (word, bits)."""
+    bits = np.zeros(1 << SLOTS - 3, np.uint8)
     for b in batches:
-        for text, trusted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            w = (text or b"").lower().split()
-            if w:
-                at = buckets(words.hashes(w))
-                np.add.at(total[0], at, 1)
-                if trusted:
-                    np.add.at(total[1], at, 1)
-    for k in (0, 1):
-        at = np.flatnonzero(total[k])
-        yield pa.record_batch([pa.array(np.full(len(at), bool(k))), pa.array(at.astype(np.int32)), pa.array(total[k][at])], ["trusted", "bucket", "n"])
+        s = _slot(b.column(0).to_numpy().view(np.uint64))
+        np.bitwise_or.at(bits, s >> 3, np.left_shift(np.uint8(1), (s & 7).astype(np.uint8)))
+    words = bits.view(np.int64)
+    at = np.flatnonzero(words)
+    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(words[at])], ["word", "bits"])
 
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray | None:
     """Log ratio of each bucket: learned from all of docs (doc_id, text), trusted those whose doc_id is in trusted.
 
-    None if no trusted document has a word. The result is 2^BITS numbers, whatever the input.
+    A bitmap of the trusted ids, of fixed size, keeps most other texts out of the join with these ids; where
+    there are so many that it fills up, more texts are shuffled, and the result is the same. None if no
+    trusted document has a word.
     """
-    ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("trusted_id"), F.lit(True).alias("is_trusted")).distinct()
-    marked = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, F.col("doc_id") == F.col("trusted_id"), "left").select("text", F.coalesce("is_trusted", F.lit(False)).alias("is_trusted"))
-    summed = marked.mapInArrow(_counted, "trusted boolean, bucket int, n long").groupBy("trusted", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros((2, 1 << BITS))
-    np.add.at(total, (np.array(summed["trusted"].to_pylist(), int), summed["bucket"].to_numpy()), summed["n"].to_numpy())
-    if not total[1].any():
+    spark = docs.sparkSession
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    ids = trusted.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted_id"))
+    found = ids.mapInArrow(_slots, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << SLOTS - 6, np.int64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+    held = spark.sparkContext.broadcast(bits.tobytes())
+    likely = source.where("doc_id is not null").mapInArrow(_maybe_trusted(held), "doc_id long, text binary")
+    # Shuffled at every size: the ids have no bound.
+    target = multinomial(likely.join(ids.distinct().hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi"))
+    if not target.any():
         return None
+    total = np.stack((multinomial(source), target))
     log = np.log(total + 1) - np.log((total + 1).sum(1, keepdims=True))
     return log[1] - log[0]
 
@@ -164,7 +207,7 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOL
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.record_batch([*b.columns, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, *ADDED]))
+    return docs.mapInArrow(tidy(run, 500), T.StructType([*docs.schema, *ADDED]))
 
 
 def op5_quality_rules(spark, sf_dir):
