@@ -47,7 +47,7 @@ def search(needle, s, start=1):
 
 
 def textbefore(s, d):
-    return F.when(F.contains(s, d), F.substring_index(s, d, 1))
+    return F.when(F.contains(s, d), F.call_function("substring_index", s, d, F.lit(1)))
 
 
 def textafter(s, d):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.plans import detect, relational
+from tamarack.plans import detect, relational, scalars
 
-MODULES = (detect, relational)
+MODULES = (detect, relational, scalars)
 
 
 def queries():
