@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -47,24 +48,21 @@ def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 100) -> Data
     new = seen
     for k in range(max_rounds):
         step = new.join(from_to, "node").select("root", F.col("dst").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
-        step = _cut(step)
+        step = cut(step)
         if step.isEmpty():
             return seen
         seen = seen.unionAll(step)
         if k % 8 == 7:
-            seen = _cut(seen)
+            seen = cut(seen)
         new = step
     raise RuntimeError("reachability did not settle")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tamarack-"))
-    elif spark._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+def cut(df: DataFrame) -> DataFrame:
+    """df from the shared checkpoint folder, without its lineage; a temporary folder where the session names none."""
+    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tamarack-"))
     return df.checkpoint()
 
 

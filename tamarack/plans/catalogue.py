@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.plans import detect, relational, scalars
+from tamarack.plans import containers, detect, relational, scalars
 
-MODULES = (detect, relational, scalars)
+MODULES = (detect, relational, scalars, containers)
 
 
 def queries():
