@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamarack.llm.common import tidy
+
 #: Documents of each language that the model is fitted on at most, in order of a hash of their doc_id; words
 #: taken of each of them at most; times that a word must occur in all; longest n-gram; words kept by a task.
 MAX_TRAIN_DOCS, MAX_TRAIN_WORDS, LEAST, MAX_GRAM, KEPT = 400, 2000, 2, 4, 500_000
@@ -190,7 +192,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             out = [("und", 0.0) if p is None else p.predict(t) for t in b.column(at).to_pylist()]
             yield pa.record_batch([*b.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(tidy(run, 500), T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def op8_language_id(spark, sf_dir):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamarack.llm.common import drop_table, release, table
+from tamarack.llm.common import drop_table, release, table, tidy
 
 #: Words below which a line has no near lines, only exact copies.
 MIN_WORDS = 5
@@ -154,7 +154,7 @@ def kept_lines(docs: DataFrame, max_edits: int = 1) -> DataFrame:
     spark = docs.sparkSession
     text = F.col("text").cast("binary").alias("text")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), text).where(F.col("text").isNotNull())
-    lines = keyed.mapInArrow(_lines(bool(max_edits)), LINES)
+    lines = keyed.mapInArrow(tidy(_lines(bool(max_edits)), 500), LINES)
     first = table(lines.groupBy("hi", "lo").agg(F.min(_pos()).alias("p"), F.first("half").alias("half")).select("p.doc_id", "p.th", "p.line", "half"), "line")
     release(spark)
     rows = first.select("doc_id", "th", "line", F.lit(False).alias("near"))
@@ -165,9 +165,9 @@ def kept_lines(docs: DataFrame, max_edits: int = 1) -> DataFrame:
         flagged = half.join(shared, "key").groupBy("doc_id", "th").agg(F.collect_set("line").alias("at"))
         flagged = flagged.withColumnsRenamed({"doc_id": "fd", "th": "ft"})
         j = keyed.join(flagged, F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("th") == F.col("ft")))
-        words = table(j.select("doc_id", "th", "text", "at").mapInArrow(_flagged_lines, "doc_id long, th long, line int, words binary"), "words")
+        words = table(j.select("doc_id", "th", "text", "at").mapInArrow(tidy(_flagged_lines, 500), "doc_id long, th long, line int, words binary"), "words")
         release(spark)
-        v = words.select("doc_id", "th", "line", "words").mapInArrow(_variant_rows, "key long, gap int, doc_id long, th long, line int")
+        v = words.select("doc_id", "th", "line", "words").mapInArrow(tidy(_variant_rows, 2000), "key long, gap int, doc_id long, th long, line int")
         v = table(v, "variant")
         short, same = v.where("gap < 0"), v.where("gap >= 0")
         # Written tables, so that AQE can split a key that many lines share.
@@ -185,7 +185,7 @@ def kept_lines(docs: DataFrame, max_edits: int = 1) -> DataFrame:
         other = words.select(*[F.col(c).alias("o_" + c) for c in ("doc_id", "th", "line", "words")])
         pairs = pairs.join(mine, F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("th") == F.col("m_th")) & (F.col("line") == F.col("m_line")))
         pairs = pairs.join(other, F.col("ed").eqNullSafe(F.col("o_doc_id")) & (F.col("et") == F.col("o_th")) & (F.col("el") == F.col("o_line")))
-        near = pairs.select("doc_id", "th", "line", "m_words", "o_words").mapInArrow(_verified, "doc_id long, th long, line int")
+        near = pairs.select("doc_id", "th", "line", "m_words", "o_words").mapInArrow(tidy(_verified), "doc_id long, th long, line int")
         near = table(near, "near")
         drop_table(v)
         drop_table(words)
@@ -231,7 +231,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1) -> DataFrame:
     j = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__plan_doc_id")) & (F.xxhash64(docs["text"]) == F.col("__plan_th")), "left")
     j = j.select(*[docs[c] for c in docs.columns], "__plan_keep", "__plan_near")
     schema = T.StructType(list(docs.schema) + [T.StructField(c, T.LongType()) for c in added])
-    return j.mapInArrow(_cut(docs.columns.index("text"), len(docs.columns), docs.columns + added), schema)
+    return j.mapInArrow(tidy(_cut(docs.columns.index("text"), len(docs.columns), docs.columns + added), 500), schema)
 
 
 def op6_line_dedup(spark, sf_dir):

@@ -21,11 +21,12 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tamarack.llm.common import tidy
 
 #: Characters of distinct units indexed at a time, symbols of a unit above which it is relaxed with a heap,
 #: distinct units kept from batch to batch, bytes of text encoded at a time.
-BATCH_CHARS, LONG, KEPT, BATCH_BYTES = 1 << 20, 48, 300_000, 8 << 20
+BATCH_CHARS, LONG, KEPT, BATCH_BYTES = 1 << 19, 48, 200_000, 4 << 20
 
 
 def _fields(b: bytes):
@@ -89,22 +90,30 @@ class Vocabulary:
         self.longest = int(self.length.max(initial=1))
         # Ranks: 0 is merged first. Equal scores are one rank.
         _, self.rank = np.unique(-np.array([score[i] for i in many]), return_inverse=True)
-        self.codes = np.zeros((len(many), self.longest), np.int32)
+        # Each piece's characters three to a number, and the greatest number that begins like a last, shorter one.
+        steps = -(-self.longest // 3)
+        self.triples, self.ceilings = np.zeros((len(many), steps), np.int64), np.zeros((len(many), steps), np.int64)
         for r, i in enumerate(many):
-            self.codes[r, : len(text[i])] = [ord(c) for c in text[i]]
-        self.known = np.unique(np.concatenate((self.codes.ravel(), [ord(c) for c in self.single])))
+            for t in range(0, len(text[i]), 3):
+                part = [ord(c) for c in text[i][t : t + 3]]
+                self.triples[r, t // 3] = sum(c << 42 - 21 * k for k, c in enumerate(part))
+                self.ceilings[r, t // 3] = self.triples[r, t // 3] | (1 << 21 * (3 - len(part))) - 1
+
+
+def _triples(codes: np.ndarray) -> np.ndarray:
+    """The three characters from each position on as one number, 0 past the end."""
+    c = np.concatenate((codes, np.zeros(2, codes.dtype))).astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in order of the `depth` or more characters that start there, by prefix doubling."""
-    n = len(codes)
-    _, rank = np.unique(codes, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    k = 1
+def suffix_array(rank: np.ndarray, depth: int) -> np.ndarray:
+    """Positions in order of the `depth` or more characters that start there, by doubling from ranks of triples."""
+    n, k = len(rank), 3
+    rank = rank + 1
     while True:
         key = rank * (n + 2)
-        key[: n - k] += rank[k:]
-        order = np.argsort(key, kind="stable")
+        key[: max(0, n - k)] += rank[k:]
+        order = np.argsort(key)
         if k * 2 >= depth:
             return order
         s = key[order]
@@ -114,30 +123,45 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         k *= 2
 
 
-def _bound(padded: np.ndarray, sa: np.ndarray, v: Vocabulary, upper: bool) -> np.ndarray:
-    """For each piece the first place in sa whose suffix doesn't come before it (upper: comes after all that start with it)."""
-    lo, hi = np.zeros(len(v.ids), np.int64), np.full(len(v.ids), len(sa), np.int64)
-    col = np.arange(v.longest)
-    inside = col < v.length[:, None]
-    while (open_ := lo < hi).any():
-        rows = np.flatnonzero(open_)
-        mid = (lo[rows] + hi[rows]) // 2
-        diff = np.where(inside[rows], padded[sa[mid][:, None] + col] - v.codes[rows], 0)
-        at = (diff != 0).argmax(1)
-        sign = diff[np.arange(len(rows)), at]
-        right = sign <= 0 if upper else sign < 0
-        lo[rows[right]] = mid[right] + 1
-        hi[rows[~right]] = mid[~right]
-    return lo
+def _ranges(sa: np.ndarray, values: np.ndarray, rank: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Of each piece the range of places in sa whose suffixes begin with it, by bisection three characters at a time.
+
+    Suffixes that agree so far are a group; group and rank of the next triple make one sorted number.
+    """
+    n, m = len(sa), len(values) + 1
+    lo, hi = np.zeros(len(v.ids), np.int64), np.zeros(len(v.ids), np.int64)
+    open_ = np.arange(len(v.ids))
+    group = np.zeros(len(v.ids), np.int64)
+    place = np.zeros(n, np.int64)
+    padded = np.concatenate((rank, np.zeros(v.longest + 3, np.int64)))
+    for t in range(0, v.longest, 3):
+        sorted_ = place * m + padded[sa + t]
+        rest = v.length[open_] - t
+        low = np.searchsorted(values, v.triples[open_, t // 3])
+        part = rest < 3
+        high = np.searchsorted(values, np.where(part, v.ceilings[open_, t // 3], v.triples[open_, t // 3]), "right")
+        a = np.searchsorted(sorted_, group[open_] * m + low)
+        z = np.searchsorted(sorted_, group[open_] * m + high)
+        done = rest <= 3
+        lo[open_[done]], hi[open_[done]] = a[done], z[done]
+        place = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1])))
+        more = ~done & (a < z)
+        open_ = open_[more]
+        group[open_] = place[a[more]]
+        if not len(open_):
+            break
+    return lo, hi
 
 
 def edges(codes: np.ndarray, v: Vocabulary) -> np.ndarray:
     """edges[position, length]: number of the piece (in v.ids) of that many characters there, or -1."""
     out = np.full((len(codes), v.longest + 1), -1, np.int32)
     if len(codes) > 1 and len(v.ids):
-        sa = suffix_array(codes, v.longest)
-        padded = np.concatenate((codes, np.full(v.longest, -1, codes.dtype))).astype(np.int32)
-        lo, hi = _bound(padded, sa, v, False), _bound(padded, sa, v, True)
+        # The triple of zeros is the first value, so that what is past the end has rank 0.
+        values, rank = np.unique(np.concatenate(([0], _triples(codes))), return_inverse=True)
+        rank = rank[1:].astype(np.int64)
+        sa = suffix_array(rank, v.longest)
+        lo, hi = _ranges(sa, values, rank, v)
         n = hi - lo
         piece = np.repeat(np.arange(len(n)), n)
         at = sa[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
@@ -333,6 +357,7 @@ def _encode(model: bytes):
                 tokens = pa.array(np.diff(off))
                 yield pa.record_batch([b.column(0).slice(at, to - at), tokens, lists, pa.array([None if t is None else s for t, s in zip(texts[at:to], same, strict=True)], pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
                 at = to
+        enc._clear()
 
     return run
 
@@ -355,7 +380,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFram
     ids. Rows may repeat; other columns are ignored; an empty table gives an empty table.
     """
     schema = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
-    return docs.select("doc_id", "text").mapInArrow(_encode(_model(model_path)), schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(_encode(_model(model_path)), 1000), schema)
 
 
 def _decode(model: bytes, at: int, names: list[str]):
@@ -375,7 +400,7 @@ def decode_documents(encoded: DataFrame, model_path: str | None = None) -> DataF
     """
     encoded = encoded.drop("text")
     schema = encoded.schema.add("text", "string")
-    return encoded.mapInArrow(_decode(_model(model_path), encoded.columns.index("ids"), schema.names), schema)
+    return encoded.mapInArrow(tidy(_decode(_model(model_path), encoded.columns.index("ids"), schema.names), 1000), schema)
 
 
 def op10_sentencepiece(spark, sf_dir):

@@ -8,7 +8,6 @@ by shape (case, symbols, equal to the token before: how junk shows, whatever its
 
 from __future__ import annotations
 
-import functools
 import operator
 import re
 from collections import Counter
@@ -21,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamarack.llm.common import tidy, trim_memory
+
 BITS = 18
 #: Rows that the model is fitted on at most, taken in order of a hash of doc_id.
-MAX_TRAIN_ROWS = 12_000
+MAX_TRAIN_ROWS = 8_000
 #: Weight of a share against a presence; times that a feature must occur in the sample; words kept by a task.
-SHARE, LEAST, KEPT = 8.0, 3, 500_000
+SHARE, LEAST, KEPT = 8.0, 3, 300_000
 #: G statistic from which a word marks a grade; words that mark none have weight 0.
 MARK = 9.0
 #: Times that a marking word is likelier in texts of its grade than in all.
@@ -153,7 +154,7 @@ def train(docs: DataFrame, grades: DataFrame, levels: int, max_rows: int = MAX_T
     graded = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(F.col("doc_id").alias("id"), F.col("grade").cast("int").alias("grade"))
     # Bounded by max_rows pairs of numbers.
     j = docs.join(F.broadcast(graded), docs["doc_id"] == F.col("id")).select("id", docs["text"].cast("binary").alias("text"), "grade")
-    got = j.mapInArrow(_sample_features, "id long, slots array<int>, vals array<float>, grade int").toArrow()
+    got = j.mapInArrow(tidy(_sample_features, 500), "id long, slots array<int>, vals array<float>, grade int").toArrow()
     if not got.num_rows:
         return None
     slots, values = (got[c].combine_chunks() for c in ("slots", "vals"))
@@ -161,7 +162,10 @@ def train(docs: DataFrame, grades: DataFrame, levels: int, max_rows: int = MAX_T
     # Copies of a document with the same doc_id are training rows of their own, the sample's bound holds.
     order = np.lexsort((grade, size, ids))[:max_rows]
     flat, vals, off = slots.flatten().to_numpy(), values.flatten().to_numpy(), np.concatenate(([0], np.cumsum(size)))
-    return fit([(flat[off[k] : off[k + 1]], vals[off[k] : off[k + 1]]) for k in order], grade[order].astype(np.int64), levels)
+    model = fit([(flat[off[k] : off[k + 1]], vals[off[k] : off[k + 1]]) for k in order], grade[order].astype(np.int64), levels)
+    del got, slots, values, flat, vals
+    trim_memory()
+    return model
 
 
 class Scorer:
@@ -196,11 +200,6 @@ class Scorer:
         return [float(1 / (1 + np.exp(np.clip(t - s, -700, 700)))) for t in self.m.thresholds]
 
 
-@functools.lru_cache(maxsize=2)
-def _unpacked(weights: bytes, thresholds: tuple) -> Scorer:
-    return Scorer(Model(np.frombuffer(weights, np.float32), np.array(thresholds), np.zeros(0)))
-
-
 def score_documents(docs: DataFrame, model: Model | None, levels: int, least: float = 0.5, rejected: bool = True) -> DataFrame:
     """docs with expected_grade (double), tails (array<double>: P(grade >= 1), ...) and kept (boolean).
 
@@ -218,7 +217,7 @@ def score_documents(docs: DataFrame, model: Model | None, levels: int, least: fl
     held = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
-        scorer = _unpacked(held.value, thresholds)
+        scorer = Scorer(Model(np.frombuffer(held.value, np.float32), np.array(thresholds), np.zeros(0)))
         for b in batches:
             tails = [scorer.tails(t) for t in b.column(at).cast(pa.binary()).to_pylist()]
             kept = pa.array([t[-1] >= least for t in tails], pa.bool_())
@@ -226,7 +225,7 @@ def score_documents(docs: DataFrame, model: Model | None, levels: int, least: fl
             yield out if rejected else out.filter(kept)
 
     schema = T.StructType([*docs.schema, T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.ArrayType(T.DoubleType())), T.StructField(added[2], T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run, 500), schema)
 
 
 #: Grades from the labels at hand: 0 of low quality, 1 of good quality but toxic, 2 good.

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import components, drop_table, parts, table
+from tamarack.llm.common import components, drop_table, parts, table, tidy
 
 #: Generator polynomial of the binary Golay code (x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1).
 GOLAY = 0b110001110101
@@ -57,7 +57,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) of every row of docs, whole texts."""
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(_fingerprints, 1000), "doc_id long, fp long")
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -210,8 +210,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prints = table(fingerprints(docs), "fp")
     classes = table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fpc")
-    copied = classes.select("fp").mapInArrow(_copied, "anchor long, fp long, home boolean")
-    links = copied.repartition(parts(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_compared, "u long, v long")
+    copied = classes.select("fp").mapInArrow(tidy(_copied), "anchor long, fp long, home boolean")
+    links = copied.repartition(parts(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_compared), "u long, v long")
     found = components(links)
     named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("label"))
     named = table(named, "fpn")
