@@ -133,7 +133,7 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model | None:
     A bounded sample, in order of a hash of doc_id: of each document MAX_TRAIN_WORDS words at most, spread
     over the whole text. Languages come from the data; the sample has max_docs rows of each of them.
     """
-    usable = docs.where("text is not null and lang is not null")
+    usable = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     # Each task passes on the least max_docs keys of a language.
     ids = usable.select("lang", "doc_id").mapInArrow(_least(max_docs), "lang string, h long, doc_id long")
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= max_docs).select("lang", "doc_id").distinct()

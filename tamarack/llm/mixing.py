@@ -95,9 +95,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     plan = mix(docs, **options)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")).otherwise(F.when(F.col("target") >= F.col("source_size"), 1).otherwise(0))
-    plan = plan.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), times.alias("mix_times")).groupBy("mix_id", "mix_source", "mix_size").agg(F.min("mix_times").alias("mix_times"))
-    j = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("mix_id")) & docs["source"].eqNullSafe(F.col("mix_source")) & (word_count(docs["text"]) == F.col("mix_size")))
-    return j.where("mix_times > 0").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("mix_times"))).alias("mix_epoch")).drop("mix_epoch")
+    plan = plan.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), times.alias("__mix_times")).groupBy("__mix_id", "__mix_source", "__mix_size").agg(F.min("__mix_times").alias("__mix_times"))
+    j = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__mix_id")) & docs["source"].eqNullSafe(F.col("__mix_source")) & (word_count(docs["text"]) == F.col("__mix_size")))
+    return j.where("__mix_times > 0").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_times"))).alias("__mix_epoch")).drop("__mix_epoch")
 
 
 def _oracle() -> str:

@@ -21,6 +21,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tamarack.llm.common import tidy
 
@@ -99,6 +100,10 @@ class Vocabulary:
                 self.triples[r, t // 3] = sum(c << 42 - 21 * k for k, c in enumerate(part))
                 self.ceilings[r, t // 3] = self.triples[r, t // 3] | (1 << 21 * (3 - len(part))) - 1
 
+    def codes_of(self, k: int) -> list[int]:
+        """Characters of the k-th piece of ids."""
+        return [int(x) for t in self.triples[k] for x in (t >> 42, t >> 21 & 0x1FFFFF, t & 0x1FFFFF) if x]
+
 
 def _triples(codes: np.ndarray) -> np.ndarray:
     """The three characters from each position on as one number, 0 past the end."""
@@ -399,7 +404,7 @@ def decode_documents(encoded: DataFrame, model_path: str | None = None) -> DataF
     Ids of null give a null text; ids that make no UTF-8 are decoded with replacement characters.
     """
     encoded = encoded.drop("text")
-    schema = encoded.schema.add("text", "string")
+    schema = T.StructType([*encoded.schema, T.StructField("text", T.StringType())])
     return encoded.mapInArrow(tidy(_decode(_model(model_path), encoded.columns.index("ids"), schema.names), 1000), schema)
 
 

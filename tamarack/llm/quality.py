@@ -152,6 +152,7 @@ def train(docs: DataFrame, grades: DataFrame, levels: int, max_rows: int = MAX_T
     """
     graded = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     graded = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(F.col("doc_id").alias("id"), F.col("grade").cast("int").alias("grade"))
+    docs = docs.select("doc_id", "text")
     # Bounded by max_rows pairs of numbers.
     j = docs.join(F.broadcast(graded), docs["doc_id"] == F.col("id")).select("id", docs["text"].cast("binary").alias("text"), "grade")
     got = j.mapInArrow(tidy(_sample_features, 500), "id long, slots array<int>, vals array<float>, grade int").toArrow()

@@ -226,8 +226,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that repeat that doc_id all stay; rows without a doc_id stay where their component has no other.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
 
 
 def op9_simhash_near_dedup(spark, sf_dir):
