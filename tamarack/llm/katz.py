@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import drop_table, parts, release, table
+from tamarack.llm.common import drop_table, parts, release, table, tidy
 
 #: Counts up to which Good-Turing discounts apply; tokens of a chunk; pairs of a partition; heavy histories.
-K, CHUNK, PAIRS, HEAVY = 5, 2_000_000, 1_000_000, 1000
+K, CHUNK, PAIRS, HEAVY = 5, 1_200_000, 500_000, 1000
 END = b"\n"
 
 
@@ -66,7 +66,7 @@ def _chunks(batches):
         tokens, keep = np.concatenate(toks), np.array(held, np.uint8)
         words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in d), np.uint64, len(d))
         counts = np.bincount(tokens[np.repeat(keep == 0, sizes)], minlength=len(d))
-        return _batch(_CHUNKS, [part << 24 | seq], [docs], [pack(sizes)], [pack(keep)], [pack(tokens)], [words.tobytes()], [counts.astype(np.int64).tobytes()])
+        return _batch(_CHUNKS, [part << 24 | seq], [docs], [pack(sizes)], [pack(keep)], [pack(tokens)], [words.tobytes()], [pack(counts.astype(np.int64))])
 
     fresh()
     for b in batches:
@@ -88,7 +88,7 @@ def _chunks(batches):
 def _unigrams(batches):
     for b in batches:
         for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            w, c = np.frombuffer(w, np.int64), np.frombuffer(c, np.int64)
+            w, c = np.frombuffer(w, np.int64), unpack(c, np.int64)
             yield pa.record_batch([pa.array(w[c > 0]), pa.array(c[c > 0])], ["h", "c"])
 
 
@@ -121,7 +121,8 @@ def _groups(batches, key: int, width: int):
 
 def _packed_ids(batches):
     for chunk, at, ids in _groups(batches, 0, 3):
-        yield pa.record_batch([pa.array(chunk[:1]), pa.array([at.tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary())], ["c", "at", "ids"])
+        order = np.argsort(at)
+        yield pa.record_batch([pa.array(chunk[:1]), pa.array([pack(np.diff(at[order], prepend=0))], pa.binary()), pa.array([pack(ids[order])], pa.binary())], ["c", "at", "ids"])
 
 
 _TEXTS = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("held", pa.binary()), ("tokens", pa.binary())])
@@ -134,10 +135,10 @@ def _resolved(unknown: int):
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
-                chunk, docs, sizes, held, tokens, words, at, ids = (b.column(c)[k].as_py() for c in range(8))
-                to = np.full(len(words) // 8, unknown, np.int64)
+                chunk, docs, sizes, held, tokens, n_words, at, ids = (b.column(c)[k].as_py() for c in range(8))
+                to = np.full(n_words, unknown, np.int64)
                 if at is not None:
-                    to[np.frombuffer(at, np.int32)] = np.frombuffer(ids, np.int64)
+                    to[np.cumsum(unpack(at, np.int64))] = unpack(ids, np.int64)
                 yield _batch(_TEXTS, [chunk], [docs], [sizes], [held], [pack(to[unpack(tokens, np.int32)])])
 
     return run
@@ -184,7 +185,7 @@ def _bigrams(base: int, heavy: int, spread: int):
                 chunk, sizes, held, tokens = (b.column(c)[k].as_py() for c in range(4))
                 keys, counts, place, _ = _distinct(unpack(sizes, np.int32), unpack(held, np.uint8), unpack(tokens, np.int64), base, heavy, spread)
                 cuts = np.flatnonzero(np.diff(place, prepend=-1))
-                ends = np.append(cuts[1:], len(keys))
+                ends = np.append(cuts[1:], len(keys)) if len(cuts) else cuts
                 rows = [(int(place[a]), chunk, pack(np.diff(keys[a:z], prepend=0)), pack(counts[a:z])) for a, z in zip(cuts, ends, strict=True)]
                 p, c, x, y = zip(*rows, strict=True) if rows else ((), (), (), ())
                 yield pa.record_batch([pa.array(p, pa.int32()), pa.array(c, pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["p", "chunk", "keys", "counts"])
@@ -285,28 +286,31 @@ def _heavy_sums(counts: Counts, d, base):
 
 
 def _answers(counts: Counts, d, base, heavy_scale):
-    """By chunk and partition: log10 of the probability of a seen pair, or of alpha, and which: 0 seen, 1 alpha, 2 heavy."""
+    """By chunk and partition, of its pairs in order: f is 0 for a seen pair, 3 for one after a history that sets a
+    count aside, 1 and 2 for an unseen one of a light and a heavy history; v has the seen pairs' counts (the
+    rest the chunk knows), a log10 of alpha for those with f 1."""
 
     def run(batches):
         for b in batches:
             for row in range(b.num_rows):
                 p, keys, c, _, chunks, asked = (b.column(k)[row].as_py() for k in range(6))
                 keys, c = np.cumsum(unpack(keys, np.int64)), unpack(c, np.int64)
-                h, first, seen, lower, prob = _sums(counts, d, base, keys, c)
+                h, first, seen, lower, _ = _sums(counts, d, base, keys, c)
                 alpha, scale = _alphas(counts.count[counts.classes(h)], seen, lower)
                 light = h >= counts.heavy
                 scale[~light] = heavy_scale[h[~light]]
                 with np.errstate(divide="ignore"):
-                    lp = np.log10(prob * np.repeat(scale, np.diff(np.append(first, len(keys)))))
                     la = np.log10(alpha)
+                kind = np.repeat(np.where(scale < 1, 3, 0), np.diff(np.append(first, len(keys)))).astype(np.uint8)
                 out = []
                 for a in asked:
                     a = np.cumsum(unpack(a, np.int64))
-                    v = np.zeros(len(a))
-                    v[a >= 0] = lp[a[a >= 0]]
-                    v[a <= -2] = la[-2 - a[a <= -2]]
-                    out.append((pack(v), pack(np.where(a >= 0, 0, np.where(a <= -2, 1, 2)).astype(np.uint8))))
-                yield pa.record_batch([pa.array(chunks, pa.int64()), pa.array([p] * len(chunks), pa.int32()), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["chunk", "p", "v", "f"])
+                    seen_at, back_at = a[a >= 0], -2 - a[a <= -2]
+                    f = np.where(a <= -2, 1, 2).astype(np.uint8)
+                    f[a >= 0] = kind[seen_at]
+                    out.append((pack(c[seen_at]), pack(f), pack(la[back_at])))
+                cols = list(zip(*out, strict=True))
+                yield pa.record_batch([pa.array(chunks, pa.int64()), pa.array([p] * len(chunks), pa.int32()), *[pa.array(x, pa.binary()) for x in cols]], ["chunk", "p", "v", "f", "a"])
 
     return run
 
@@ -314,17 +318,25 @@ def _answers(counts: Counts, d, base, heavy_scale):
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(counts: Counts, base, spread, heavy_alpha):
+def _scores(counts: Counts, d, base, spread, heavy_alpha):
     """Chunks' texts (p -1) followed by the answers of the partitions, in order."""
 
     def finish(held, answers):
         docs, sizes, flags, tokens = held
         sizes, flags, tokens = unpack(sizes, np.int32), unpack(flags, np.uint8), unpack(tokens, np.int64)
         keys, _, _, index = _distinct(sizes, flags, tokens, base, counts.heavy, spread)
-        v = np.concatenate([unpack(a, np.float64) for a, _ in answers]) if answers else np.zeros(0)
-        f = np.concatenate([unpack(x, np.uint8) for _, x in answers]) if answers else np.zeros(0, np.uint8)
-        if len(v) != len(keys):
+        f = np.concatenate([unpack(x[1], np.uint8) for x in answers]) if answers else np.zeros(0, np.uint8)
+        if len(f) != len(keys):
             raise RuntimeError("a partition's answers are missing")
+        # log10 of a seen pair's probability, or of alpha, by different pair.
+        total = counts.count[counts.classes(keys // base)]
+        v = np.zeros(len(keys))
+        seen = (f == 0) | (f == 3)
+        if answers:
+            c = np.concatenate([unpack(x[0], np.int64) for x in answers])
+            v[seen] = np.log10(d[np.minimum(c, K + 1)] * c / total[seen])
+            v[f == 1] = np.concatenate([unpack(x[2], np.float64) for x in answers])
+            v[f == 3] += np.log10(total[f == 3] / (total[f == 3] + 1.0))
         cls = counts.classes(tokens)
         with np.errstate(divide="ignore"):
             low = np.log10(counts.p)[cls]
@@ -334,7 +346,7 @@ def _scores(counts: Counts, base, spread, heavy_alpha):
         at = index[got]
         history = (keys // base)[at]
         back = np.where(f[at] == 2, la[np.minimum(history, len(la) - 1)], v[at])
-        score[got] = np.where(f[at] == 0, v[at], back + low[got])
+        score[got] = np.where(seen[at], v[at], back + low[got])
         c = counts.count[cls]
         plain = np.log10((c + 1) / (counts.n + counts.v + 1))
         starts = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))[:-1]))
@@ -353,7 +365,7 @@ def _scores(counts: Counts, base, spread, heavy_alpha):
                         yield finish(held, answers)
                     held, answers = [b.column(c)[k].as_py() for c in range(2, 6)], []
                 else:
-                    answers.append((b.column(6)[k].as_py(), b.column(7)[k].as_py()))
+                    answers.append(tuple(b.column(c)[k].as_py() for c in (6, 7, 8)))
         if held is not None:
             yield finish(held, answers)
 
@@ -371,8 +383,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = parts(spark)
     source = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    chunks = table(source.mapInArrow(_chunks, CHUNKS), "chunks")
-    words = table(chunks.select("words", "counts").mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
+    chunks = table(source.mapInArrow(tidy(_chunks), CHUNKS), "chunks")
+    words = table(chunks.select("words", "counts").mapInArrow(tidy(_unigrams), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
+    release(spark)
     # One row for each different count, at most sqrt(2 N).
     classes = words.groupBy("c").agg(F.count("*").alias("types")).orderBy(F.desc("c")).toArrow()
     counts = Counts(np.asarray(classes["c"], np.int64), np.asarray(classes["types"], np.int64))
@@ -387,30 +400,32 @@ def score_documents(docs: DataFrame) -> DataFrame:
     offsets = offsets.join(first, "c").select("c", "b", (F.col("start") + F.col("before")).alias("offset"))
     number = F.col("offset") + F.row_number().over(Window.partitionBy("c", "b").orderBy("h")) - 1
     ids = table(split.join(offsets, ["c", "b"]).select("h", number.alias("id")), "ids")
-    asked = chunks.select("chunk", "words").mapInArrow(_requests, "h long, chunk long, at int")
-    found = asked.join(ids, "h").select("chunk", "at", "id").repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(_packed_ids, "c long, at binary, ids binary")
+    release(spark)
+    asked = chunks.select("chunk", "words").mapInArrow(tidy(_requests), "h long, chunk long, at int")
+    found = asked.join(ids, "h").select("chunk", "at", "id").repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(tidy(_packed_ids), "c long, at binary, ids binary")
     found = table(found, "found")
-    whole = chunks.join(found, F.col("chunk") == F.col("c"), "left").select("chunk", "docs", "sizes", "held", "tokens", "words", "at", "ids")
-    texts = table(whole.mapInArrow(_resolved(counts.v), TEXTS), "texts")
+    release(spark)
+    whole = chunks.join(found, F.col("chunk") == F.col("c"), "left").select("chunk", "docs", "sizes", "held", "tokens", F.floor(F.octet_length("words") / 8).cast("int").alias("n_words"), "at", "ids")
+    texts = table(whole.mapInArrow(tidy(_resolved(counts.v)), TEXTS), "texts")
     for old in (chunks, words, ids, found):
         drop_table(old)
     release(spark)
-    pairs = texts.select("chunk", "sizes", "held", "tokens").mapInArrow(_bigrams(base, counts.heavy, spread), "p int, chunk long, keys binary, counts binary")
-    model = table(pairs.repartition(n, "p").sortWithinPartitions("p", "chunk").mapInArrow(_merged(base, counts.heavy), MODEL), "pairs")
+    pairs = texts.select("chunk", "sizes", "held", "tokens").mapInArrow(tidy(_bigrams(base, counts.heavy, spread)), "p int, chunk long, keys binary, counts binary")
+    model = table(pairs.repartition(n, "p").sortWithinPartitions("p", "chunk").mapInArrow(tidy(_merged(base, counts.heavy)), MODEL), "pairs")
     release(spark)
     row = model.select(*[F.sum(F.col("histogram")[r]).alias(f"n{r}") for r in range(K + 1)]).first()
     d = discounts([x or 0 for x in row])
     # At most HEAVY rows.
-    sums = model.select("keys", "counts").mapInArrow(_heavy_sums(counts, d, base), "h long, seen double, lower double").groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower")).toArrow()
+    sums = model.select("keys", "counts").mapInArrow(tidy(_heavy_sums(counts, d, base)), "h long, seen double, lower double").groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower")).toArrow()
     alpha, scale = np.ones(counts.heavy + 1), np.ones(counts.heavy + 1)
     h = np.asarray(sums["h"], np.int64)
     alpha[h], scale[h] = _alphas(counts.count[counts.classes(h)], np.asarray(sums["seen"], float), np.asarray(sums["lower"], float))
-    answers = model.mapInArrow(_answers(counts, d, base, scale), "chunk long, p int, v binary, f binary")
+    answers = model.mapInArrow(tidy(_answers(counts, d, base, scale)), "chunk long, p int, v binary, f binary, a binary")
     none = F.lit(None)
-    left = texts.select("chunk", F.lit(-1).alias("p"), "docs", "sizes", "held", "tokens", none.cast("binary").alias("v"), none.cast("binary").alias("f"))
-    right = answers.select("chunk", "p", none.cast("array<long>").alias("docs"), *[none.cast("binary").alias(c) for c in ("sizes", "held", "tokens")], "v", "f")
+    left = texts.select("chunk", F.lit(-1).alias("p"), "docs", "sizes", "held", "tokens", *[none.cast("binary").alias(c) for c in "vfa"])
+    right = answers.select("chunk", "p", none.cast("array<long>").alias("docs"), *[none.cast("binary").alias(c) for c in ("sizes", "held", "tokens")], "v", "f", "a")
     both = left.unionAll(right).repartition(n, "chunk").sortWithinPartitions("chunk", "p")
-    return both.mapInArrow(_scores(counts, base, spread, alpha), OUT)
+    return both.mapInArrow(tidy(_scores(counts, d, base, spread, alpha)), OUT)
 
 
 def op7_katz_lm_scoring(spark, sf_dir):
