@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import components, parts, table
+from tamarack.llm.common import components, parts, table, tidy
 from tamarack.llm.simhash import forest
 
 #: Vectors of a block, rows of the sample that centres come from, centres at most, radii of the levels.
@@ -142,15 +142,21 @@ def traverse(x, tx, y, ty, cosine: float, same: bool):
         na, nb = np.append(ka[1:], la)[pa_] - ka[pa_], np.append(kb[1:], lb)[pb] - kb[pb]
         if int((na * nb).sum()) * 4 > la * lb and la * lb > 1 << 16:
             # As a matrix of children whose parents are open, bounded by the blocks' sizes.
-            # Drop what the children's centres already rule out before listing them.
             open_ = np.zeros((len(fa), len(fb)), bool)
             open_[pa_, pb] = True
             pra, prb = np.repeat(np.arange(len(fa)), np.diff(np.append(ka, la))), np.repeat(np.arange(len(fb)), np.diff(np.append(kb, lb)))
             ca2, ra2, cb2, rb2 = tx[level + 1][1], tx[level + 1][2], ty[level + 1][1], ty[level + 1][2]
-            chord = np.sqrt(np.maximum(0, 2 - 2 * (x[ca2] @ y[cb2].T)))
-            near = chord <= (delta + 1e-6) + ra2[:, None] + rb2[None, :]
-            near &= open_[pra][:, prb]
-            pa_, pb = np.nonzero(near)
+            # In single precision with some slack first: what is left is few, and looked at closely.
+            gram = x[ca2].astype(np.float32) @ y[cb2].astype(np.float32).T
+            reach2 = np.add.outer((delta + 1e-3 + ra2).astype(np.float32), rb2.astype(np.float32))
+            np.multiply(reach2, reach2, out=reach2)
+            reach2 *= np.float32(-0.5)
+            reach2 += np.float32(1 - 1e-4)
+            pa_, pb = np.nonzero(gram >= reach2)
+            keep = open_[pra[pa_], prb[pb]]
+            pa_, pb = pa_[keep], pb[keep]
+            keep = _chords(x, y, ca2[pa_], cb2[pb]) <= delta + SLACK + ra2[pa_] + rb2[pb]
+            pa_, pb = pa_[keep], pb[keep]
         else:
             pair, child = _open(ka[pa_], ka[pa_] + na)
             pair2, child2 = _open(kb[pb[pair]], (kb[pb] + nb)[pair])
@@ -225,9 +231,12 @@ def _built(batches):
 
     def out():
         t = pa.Table.from_batches(held).combine_chunks()
-        x = unit(_matrix(t.column("emb").combine_chunks()))
-        order, levels = build(x)
-        packed = pickle.dumps((x[order], t.column("cnt").to_numpy()[order], t.column("rep").to_numpy()[order], levels))
+        raw = _matrix(t.column("emb").combine_chunks())
+        order, levels = build(unit(raw))
+        # Single precision where that loses nothing, as with vectors that came in it.
+        single = raw.astype(np.float32)
+        raw = single if (single == raw).all() else raw
+        packed = pickle.dumps((raw[order], t.column("cnt").to_numpy()[order], t.column("rep").to_numpy()[order], levels))
         return pa.record_batch([pa.array([key], pa.string()), pa.array([packed], pa.binary())], ["block", "packed"])
 
     for b in batches:
@@ -245,13 +254,18 @@ def _built(batches):
         yield out()
 
 
+def _load(packed: bytes):
+    raw, counts, ids, levels = pickle.loads(packed)
+    return unit(raw.astype(np.float64)), counts, ids, levels
+
+
 def _compared(cosine: float):
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
                 same = b.column(0)[k].as_py() == b.column(1)[k].as_py()
-                x, wx, idx, tx = pickle.loads(b.column(2)[k].as_py())
-                y, wy, idy, ty = (x, wx, idx, tx) if same else pickle.loads(b.column(3)[k].as_py())
+                x, wx, idx, tx = _load(b.column(2)[k].as_py())
+                y, wy, idy, ty = (x, wx, idx, tx) if same else _load(b.column(3)[k].as_py())
                 ids, n, u, v = linked(x, tx, wx, idx, y, ty, wy, idy, cosine, same)
                 yield pa.record_batch([pa.array(np.concatenate((ids, u))), pa.array(np.concatenate((n * 0, v))), pa.array(np.concatenate((n, u * 0)))], ["u", "v", "n"])
 
@@ -288,11 +302,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     sizes = placed.groupBy("dim", "centre").agg(F.count("*").alias("k"))
     part = F.pmod(F.xxhash64("emb"), F.ceil(F.col("k") / BLOCK))
     named = placed.join(F.broadcast(sizes), ["dim", "centre"]).select("rep", "cnt", "emb", F.concat_ws(":", "dim", "centre", part).alias("block"))
-    blocks = table(named.repartition(n_parts, "block").sortWithinPartitions("block").mapInArrow(_built, "block string, packed binary"), "blocks")
+    blocks = table(named.repartition(n_parts, "block").sortWithinPartitions("block").mapInArrow(tidy(_built), "block string, packed binary"), "blocks")
     key = blocks.select("block", F.substring_index("block", ":", 1).alias("dim"), F.substring_index("block", ":", 2).alias("at"))
     found = _block_pairs(key, centres, placed, cosine)
     both = found.join(blocks.select(F.col("block").alias("a"), F.col("packed").alias("x")), "a").join(blocks.select(F.col("block").alias("b"), F.col("packed").alias("y")), "b")
-    links = table(both.repartition(4 * n_parts, "a", "b").select("a", "b", "x", "y").mapInArrow(_compared(cosine), "u long, v long, n long"), "links")
+    links = table(both.select("a", "b", "x", "y").mapInArrow(tidy(_compared(cosine)), "u long, v long, n long"), "links")
     counts = links.where("n > 0").groupBy("u").agg(F.sum("n").alias("n"))
     joined = components(links.where("n = 0").select("u", "v"))
     named = classes.join(counts, classes["rep"] == counts["u"], "left").join(joined, F.col("rep") == F.col("node"), "left")
