@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.plans import containers, detect, relational, scalars
+from tamarack.plans import containers, detect, paths, relational, scalars
 
-MODULES = (detect, relational, scalars, containers)
+MODULES = (detect, relational, scalars, containers, paths)
 
 
 def queries():
