@@ -54,7 +54,7 @@ def access_value_flows(spark, sf_dir):
 
 
 _FLOWS = """
-WITH j AS (SELECT l_orderkey AS p, l_partkey AS a, l_suppkey AS f, l_returnflag = 'R' AS w, lower(l_returnflag) AS t, lower(l_linestatus) AS s FROM lineitem WHERE l_discount > 0.05 AND l_tax > 0.03),
+WITH j AS (SELECT a.l_orderkey AS p, a.l_partkey AS a, f.l_suppkey AS f, a.l_returnflag = 'R' AS w, lower(f.l_returnflag) AS t, lower(f.l_linestatus) AS s FROM lineitem a JOIN lineitem f USING (l_orderkey, l_linenumber) WHERE a.l_discount > 0.05 AND f.l_tax > 0.03),
 x AS (SELECT DISTINCT p, a, f, 'excel_read_to_variable_candidate' AS role, t AS variable FROM j WHERE NOT w UNION SELECT p, a, f, 'variable_to_excel_write_candidate', s FROM j WHERE w UNION SELECT p, a, f, 'variable_to_excel_write_candidate', s || 'x' FROM j WHERE w)
 SELECT role, variable, count(*)::BIGINT AS n_flows FROM x GROUP BY ALL"""
 
