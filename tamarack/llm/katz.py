@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tamarack.llm.common import drop_table, parts, release, table, tidy
 
 #: Counts up to which Good-Turing discounts apply; tokens of a chunk; pairs of a partition; heavy histories.
-K, CHUNK, PAIRS, HEAVY = 5, 1_200_000, 500_000, 1000
+K, CHUNK, PAIRS, HEAVY = 5, 700_000, 500_000, 1000
 END = b"\n"
 
 
