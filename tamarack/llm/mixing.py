@@ -16,7 +16,7 @@ from tamarack.llm.common import WORD, table
 #: Weights of the sources in order of their names, repeated.
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Rows that a bucket holds on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     sized = table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("k")), "mix")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     n = per_source.agg(F.sum("rows").alias("rows")).first()["rows"] or 0
-    buckets = 1 << max(4, (n // BUCKET_ROWS).bit_length())
+    buckets = 1 << max(8, (n // BUCKET_ROWS).bit_length())
     digits = (buckets.bit_length() + 2) // 4
     b = F.substring("k", 1, digits)
     rows = sized.withColumn("b", b)
