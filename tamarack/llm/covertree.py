@@ -352,5 +352,14 @@ def op3_embedding_near_dedup(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+#: Every pair of vectors, and the links' closure.
+_ORACLE = """
+WITH RECURSIVE n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+c AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT p.w, c.root FROM c JOIN p ON p.u = c.node),
+k AS (SELECT u, count(*) AS n FROM p GROUP BY u), m AS (SELECT node, min(root) AS root FROM c GROUP BY node)
+SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, m.root AS component_id, vec_id = m.root AS kept FROM embeddings e JOIN m ON m.node = e.vec_id LEFT JOIN k ON k.u = e.vec_id"""
+
 QUERIES = {"op3_embedding_near_dedup": op3_embedding_near_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_embedding_near_dedup": _ORACLE}

@@ -240,5 +240,20 @@ def op6_line_dedup(spark, sf_dir):
     return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_copies", "n_near")
 
 
+#: Copies by the text of their words; near lines by the texts of all their deletion variants.
+_ORACLE = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM l),
+p AS (SELECT *, array_to_string(ws, ' ') AS key, row_number() OVER (ORDER BY doc_id, k) AS pos FROM w),
+f AS (SELECT key, ws, pos FROM p WHERE len(ws) > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos) = 1),
+v AS (SELECT pos, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS cut FROM f, unnest(range(1, len(ws) + 1)) t(i) WHERE len(ws) >= 5),
+s AS (SELECT key, pos FROM f WHERE len(ws) >= 5),
+a AS (SELECT pos FROM v QUALIFY min(pos) OVER (PARTITION BY cut, i) < pos),
+m AS (SELECT v.pos AS long_pos, s.pos AS short_pos FROM v JOIN s ON s.key = v.cut),
+n AS (SELECT pos FROM a UNION SELECT long_pos FROM m WHERE short_pos < long_pos UNION SELECT short_pos FROM m WHERE long_pos < short_pos),
+r AS (SELECT p.*, len(p.ws) = 0 OR f.pos IS NOT NULL AND n.pos IS NULL AS stays, n.pos IS NOT NULL AS near FROM p LEFT JOIN f ON f.pos = p.pos LEFT JOIN n ON n.pos = p.pos),
+g AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE stays) AS text, count(*) AS n_lines, count(*) FILTER (WHERE near) AS n_near, count(*) FILTER (WHERE NOT stays AND NOT near) AS n_copies FROM r GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(g.text, '') END AS text, coalesce(g.n_lines, 0)::BIGINT AS n_lines, coalesce(g.n_copies, 0)::BIGINT AS n_copies, coalesce(g.n_near, 0)::BIGINT AS n_near FROM documents d LEFT JOIN g USING (doc_id)"""
+
 QUERIES = {"op6_line_dedup": op6_line_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_line_dedup": _ORACLE}
