@@ -105,6 +105,20 @@ def access_predicates(accesses: DataFrame, paths: DataFrame, nodes: DataFrame, e
     return j.select(*scope, "path_id", "access_id", "cond", F.when(F.col("cond").isNull(), "unassociated").otherwise("edge_condition").alias("state"))
 
 
+def final_state(events: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, name, value): variables' values at the end of each path of events (scope, pos, event, name, value).
+
+    assign sets a name; erase unsets it; invalidate unsets every name of the path. Of a name only the last
+    event counts, and only if nothing was invalidated after it: no fold over the path is needed. Events of one
+    position count in order of name and value.
+    """
+    order = [F.col("pos").desc(), F.col("name").desc(), F.col("value").desc()]
+    wiped = events.where("event = 'invalidate'").groupBy(*scope).agg(F.max("pos").alias("wiped"))
+    named = events.where("event <> 'invalidate'").withColumn("r", F.row_number().over(Window.partitionBy(*scope, "name").orderBy(*order))).where("r = 1")
+    j = named.join(wiped, scope, "left")
+    return j.where("event = 'assign' and (wiped is null or pos > wiped)").select(*scope, "name", "value")
+
+
 def constant_of(reads: DataFrame, constants: DataFrame) -> DataFrame:
     """reads (read_id, module, proc, name) with the unique visible constant: of the procedure, the module, or public.
 

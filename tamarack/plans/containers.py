@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tamarack.functions import formula as X
-from tamarack.operators import graphs, joins, stomping, vba
+from tamarack.operators import exports, graphs, joins, stomping, vba
 from tamarack.sources import containers, formats, workbook
 
 
@@ -189,6 +189,29 @@ def pcode_listing(spark, sf_dir):
 _PCODE = "SELECT line::BIGINT AS line, mnemonic, operands, error FROM (VALUES (0, 'LitDI2', '5', ''), (0, 'LitDI2', '7', ''), (0, 'Add', '', ''), (0, 'St', 'x', ''), (1, 'LitStr', 'ABC', ''), (1, 'ArgsCall', 'MsgBox,1', ''), (2, '', '', 'unknown opcode 1023 at 0')) t(line, mnemonic, operands, error)"
 
 
+def disassembly_markdown(spark, sf_dir):
+    """The same listing as Markdown."""
+    lines = spark.createDataFrame([("m", 0, bytes.fromhex("0100050001000700020003000100")), ("m", 1, bytes.fromhex("0400030041424300"))], "path string, line long, code binary")
+    out = containers.pcode_instructions(lines, OPCODES, {1: "x", 2: "MsgBox"})
+    return exports.disassembly_markdown(out.select("path", F.col("line").alias("line_no"), F.col("at").alias("instr_no"), "mnemonic", "operands"), ["path"])
+
+
+_LISTING = "SELECT 'm' AS path, '```' || chr(10) || '    0  LitDI2 5' || chr(10) || '    0  LitDI2 7' || chr(10) || '    0  Add ' || chr(10) || '    0  St x' || chr(10) || '    1  LitStr ABC' || chr(10) || '```' || chr(10) AS markdown"
+
+
+def stomping_json(spark, sf_dir):
+    """Reports of sample modules with their findings as JSON, read back field by field."""
+    from tamarack.plans.detect import _stomp_tables
+
+    m, n = _stomp_tables(spark)
+    out = exports.report_json(stomping.reports(m, n, ["module"]), stomping.findings(m, n, ["module"]), ["module"])
+    field = lambda p: F.get_json_object("json", p)
+    return out.select("module", field("$.severity").alias("severity"), field("$.score").cast("long").alias("score"), F.coalesce(field("$.findings[0].kind"), F.lit("")).alias("first_kind"))
+
+
+_JSON = "SELECT module, severity, score::BIGINT AS score, first_kind FROM (VALUES ('broken', 'Critical', 100, 'ProcedureHiddenInPCode'), ('cache', 'Medium', 35, 'PerformanceCachePurged'), ('clean', 'Clean', 0, ''), ('empty', 'Clean', 0, ''), ('hidden', 'Critical', 100, 'LineCountDiscrepancy'), ('purged', 'Critical', 95, 'SourcePurged')) t(module, severity, score, first_kind)"
+
+
 def formula_evaluation(spark, sf_dir):
     """A formula for each part, evaluated over a sheet of its brand's cells."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -281,9 +304,9 @@ def special_functions(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (zip_entries, vba_modules, container_stomping, vba_statements, vba_graphs, vba_paths, vba_call_edges, vba_entry_points, vba_assignment_types, type_lattice, pcode_listing, formula_evaluation, deobfuscated_formulas, formula_reference_cells, workbook_cells, workbook_sheets, special_functions)
+    for f in (zip_entries, vba_modules, container_stomping, vba_statements, vba_graphs, vba_paths, vba_call_edges, vba_entry_points, vba_assignment_types, type_lattice, pcode_listing, disassembly_markdown, stomping_json, formula_evaluation, deobfuscated_formulas, formula_reference_cells, workbook_cells, workbook_sheets, special_functions)
 }
 ORACLES = {
-    "zip_entries": _ZIP, "vba_modules": _MODULES, "container_stomping": _CONTAINER, "vba_statements": _STATEMENTS, "vba_call_edges": _CALLS, "vba_entry_points": _ENTRIES, "vba_assignment_types": _ASSIGNED, "pcode_listing": _PCODE, "formula_evaluation": _FORMULA, "deobfuscated_formulas": _DEOBFUSCATED,
+    "zip_entries": _ZIP, "vba_modules": _MODULES, "container_stomping": _CONTAINER, "vba_statements": _STATEMENTS, "vba_call_edges": _CALLS, "vba_entry_points": _ENTRIES, "vba_assignment_types": _ASSIGNED, "pcode_listing": _PCODE, "disassembly_markdown": _LISTING, "stomping_json": _JSON, "formula_evaluation": _FORMULA, "deobfuscated_formulas": _DEOBFUSCATED,
     "formula_reference_cells": _REFERENCES, "workbook_cells": _CELLS, "workbook_sheets": _SHEETS,
 }

@@ -59,6 +59,21 @@ x AS (SELECT DISTINCT p, a, f, 'excel_read_to_variable_candidate' AS role, t AS
 SELECT role, variable, count(*)::BIGINT AS n_flows FROM x GROUP BY ALL"""
 
 
+def path_final_state(spark, sf_dir):
+    """Users' values by kind of event at the end: an error invalidates what came before, a click erases the views."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    event = F.when(F.col("event_type") == "error", "invalidate").when(F.col("event_type") == "click", "erase").otherwise("assign")
+    name = F.when(F.col("event_type") == "click", "view").otherwise(F.col("event_type"))
+    rows = e.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("pos"), event.alias("event"), name.alias("name"), "value")
+    return facts.final_state(rows, ["user_id"])
+
+
+_FINAL = """
+WITH e AS (SELECT user_id, ts, event_type, value, CASE event_type WHEN 'click' THEN 'view' ELSE event_type END AS name FROM events), w AS (SELECT user_id, max(ts) AS t FROM e WHERE event_type = 'error' GROUP BY 1),
+l AS (SELECT * FROM e WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id, name ORDER BY ts DESC, value DESC) = 1)
+SELECT l.user_id, l.name, l.value FROM l LEFT JOIN w USING (user_id) WHERE event_type <> 'click' AND (w.t IS NULL OR l.ts > w.t)"""
+
+
 def constant_sources(spark, sf_dir):
     """Customers' segments as reads of constants that nations, regions and all define."""
     c, n = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
@@ -176,8 +191,8 @@ _MASK = "SELECT name, n::BIGINT AS n_bytes, masked FROM (VALUES ('a.frm', 45, '
 
 QUERIES = {
     f.__name__: f
-    for f in (condition_prefixes, access_predicates, access_value_flows, constant_sources, path_feasibility, unassociated_facts, shared_formulas, structured_references, host_names, node_predicates, error_flow, simple_variables, designer_mask)
+    for f in (condition_prefixes, access_predicates, access_value_flows, path_final_state, constant_sources, path_feasibility, unassociated_facts, shared_formulas, structured_references, host_names, node_predicates, error_flow, simple_variables, designer_mask)
 }
 ORACLES = {
-    "condition_prefixes": _PREFIX, "access_predicates": _PREDICATES, "access_value_flows": _FLOWS, "constant_sources": _CONSTANTS, "path_feasibility": _FEASIBLE, "unassociated_facts": _UNASSOCIATED, "shared_formulas": _SHARED, "structured_references": _STRUCTURED, "host_names": _HOST, "node_predicates": _NODES, "error_flow": _ERRORS, "simple_variables": _SIMPLE, "designer_mask": _MASK,
+    "condition_prefixes": _PREFIX, "access_predicates": _PREDICATES, "access_value_flows": _FLOWS, "path_final_state": _FINAL, "constant_sources": _CONSTANTS, "path_feasibility": _FEASIBLE, "unassociated_facts": _UNASSOCIATED, "shared_formulas": _SHARED, "structured_references": _STRUCTURED, "host_names": _HOST, "node_predicates": _NODES, "error_flow": _ERRORS, "simple_variables": _SIMPLE, "designer_mask": _MASK,
 }

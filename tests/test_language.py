@@ -95,3 +95,14 @@ def test_compiled_paths():
     loop = pcode.run([{"do": "branch", "by": 0}])
     assert loop["paths"][0]["stop"] == "cycle_pruned"
     assert pcode.validate_masks([0x3FF, 0xFC00]) and not pcode.validate_masks([0x3, 0x2]) and not pcode.validate_masks([0x5])
+
+
+def test_gosub_returns_come_back():
+    from tamarack.operators.facts import gosub_returns
+
+    # 0 calls 5 and goes on at 1, 1 calls 5 and goes on at 2; 6 returns.
+    edges = [(5, 6, None), (2, 9, None)]
+    got, cut = gosub_returns(edges, {0: (5, 1), 1: (5, 2)}, {6}, 0)
+    assert not cut and {(6, 1, 0), (6, 2, 0), (0, 5, 1), (1, 5, 1), (2, 9, 0)} <= set(got)
+    assert not [e for e in got if e[0] == 6 and e[2] > 0]
+    assert gosub_returns([], {0: (0, 1)}, set(), 0, max_depth=3)[1]
