@@ -23,6 +23,8 @@ from tamarack.llm.common import drop_table, release, table, tidy
 
 #: Words below which a line has no near lines, only exact copies.
 MIN_WORDS = 5
+#: Variants that a task makes at a time.
+FLUSH = 100_000
 _I64 = 1 << 63
 
 
@@ -103,21 +105,27 @@ def _flagged_lines(batches):
 
 
 def _variant_rows(batches):
-    """Rows (key, gap, doc_id, th, line): each line without its word number gap, and itself with gap -1."""
+    """Rows (key, gap, doc_id, th, line): each line without its word number gap, and itself with gap -1.
+
+    Lines are taken together only up to FLUSH variants, however long they are.
+    """
     for b in batches:
-        keys, gaps, rows = [], [], []
-        for r, w in enumerate(b.column(3).to_pylist()):
+        keys, gaps, rows, n = [], [], [], 0
+        lines = b.column(3).to_pylist()
+        for r, w in enumerate(lines):
             h = np.frombuffer(w, np.uint64)
             keys += [variants(h), np.array([whole_key(h)], np.uint64)]
-            gaps += [np.arange(len(h)), np.array([-1])]
-            rows.append(np.full(len(h) + 1, r))
-        if not keys:
-            continue
-        at = np.concatenate(rows)
-        yield pa.record_batch(
-            [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(gaps).astype(np.int32))] + [b.column(k).take(pa.array(at)) for k in range(3)],
-            ["key", "gap", "doc_id", "th", "line"],
-        )
+            gaps.append(np.arange(len(h) + 1, dtype=np.int32))
+            gaps[-1][-1] = -1
+            rows.append(np.full(len(h) + 1, r, np.int32))
+            n += len(h) + 1
+            if n >= FLUSH or r == len(lines) - 1:
+                at = pa.array(np.concatenate(rows))
+                yield pa.record_batch(
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(gaps)), *[b.column(k).take(at) for k in range(3)]],
+                    ["key", "gap", "doc_id", "th", "line"],
+                )
+                keys, gaps, rows, n = [], [], [], 0
 
 
 def near_words(a: np.ndarray, b: np.ndarray) -> bool:
