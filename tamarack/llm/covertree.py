@@ -30,6 +30,8 @@ BLOCK, SAMPLE, CENTRES = 2048, 4096, 256
 RADII = (2.0, 1.0, 0.5, 0.25, 0.125, 0.0625)
 #: Doubt left to rounding when nodes are dropped or taken whole.
 SLACK = 1e-9
+#: Error of a chord from a product in single precision, at most: that of a cosine, 1e-6, counts most at chord 0.
+ROUGH = 2e-3
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -112,14 +114,10 @@ def traverse(x, tx, y, ty, cosine: float, same: bool):
     nx, ny = len(x), len(y)
     pa_, pb = np.zeros(1, np.int64), np.zeros(1, np.int64)
     singles, whole = [], []
+    d, slack = None, SLACK
     for level in range(len(tx)):
         (fa, ca, ra, ka), (fb, cb, rb, kb) = tx[level], ty[level]
-        if len(pa_) * 4 > len(fa) * len(fb) and len(pa_) > 4096:
-            # Most pairs are open: one matrix product is cheaper than as many rows.
-            gram = x[ca] @ y[cb].T
-            d = np.sqrt(np.maximum(0, 2 - 2 * gram[pa_, pb]))
-            slack = 1e-7
-        else:
+        if d is None:
             d, slack = _chords(x, y, ca[pa_], cb[pb]), SLACK
         reach = ra[pa_] + rb[pb]
         alive = d - reach <= delta + slack
@@ -140,7 +138,7 @@ def traverse(x, tx, y, ty, cosine: float, same: bool):
         pa_, pb = pa_[go], pb[go]
         la, lb = len(tx[level + 1][0]), len(ty[level + 1][0])
         na, nb = np.append(ka[1:], la)[pa_] - ka[pa_], np.append(kb[1:], lb)[pb] - kb[pb]
-        if int((na * nb).sum()) * 4 > la * lb and la * lb > 1 << 16:
+        if int((na * nb).sum()) * 25 > la * lb and la * lb > 1 << 16:
             # As a matrix of children whose parents are open, bounded by the blocks' sizes.
             open_ = np.zeros((len(fa), len(fb)), bool)
             open_[pa_, pb] = True
@@ -148,19 +146,19 @@ def traverse(x, tx, y, ty, cosine: float, same: bool):
             ca2, ra2, cb2, rb2 = tx[level + 1][1], tx[level + 1][2], ty[level + 1][1], ty[level + 1][2]
             # In single precision with some slack first: what is left is few, and looked at closely.
             gram = x[ca2].astype(np.float32) @ y[cb2].astype(np.float32).T
-            reach2 = np.add.outer((delta + 1e-3 + ra2).astype(np.float32), rb2.astype(np.float32))
+            reach2 = np.add.outer((delta + ROUGH + ra2).astype(np.float32), rb2.astype(np.float32))
             np.multiply(reach2, reach2, out=reach2)
             reach2 *= np.float32(-0.5)
-            reach2 += np.float32(1 - 1e-4)
+            reach2 += np.float32(1 - 1e-5)
             pa_, pb = np.nonzero(gram >= reach2)
             keep = open_[pra[pa_], prb[pb]]
             pa_, pb = pa_[keep], pb[keep]
-            keep = _chords(x, y, ca2[pa_], cb2[pb]) <= delta + SLACK + ra2[pa_] + rb2[pb]
-            pa_, pb = pa_[keep], pb[keep]
+            # Distances good to ROUGH: enough to drop and to take whole with as much slack.
+            d, slack = np.sqrt(np.maximum(0, 2 - 2 * gram[pa_, pb])).astype(np.float64), ROUGH
         else:
             pair, child = _open(ka[pa_], ka[pa_] + na)
             pair2, child2 = _open(kb[pb[pair]], (kb[pb] + nb)[pair])
-            pa_, pb = child[pair2], child2
+            pa_, pb, d = child[pair2], child2, None
         if not len(pa_):
             break
     return singles, whole
