@@ -1,0 +1,219 @@
+"""Near-dedup by the Jaccard similarity of word shingles, for near copies that SimHash fingerprints don't link.
+
+Texts with equal shingle sets are one node. Each node has BANDS keys of ROWS MinHash values; two nodes of
+similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS: at 0.8 all but 5 in 10^8 pairs do. Pairs that
+share a key are compared on their whole shingle sets, so no pair below the bound links. A key's nodes are
+compared as a chain first, in an order of its own; then only pairs that are not connected yet, all of them.
+So a large group of near copies costs a multiple of its size, not its square.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tamarack.llm.common import components, drop_table, parts, table, tidy
+
+#: Width in words and least similarity of near-duplicate stages.
+WIDTH, LEAST = 5, 0.8
+BANDS, ROWS = 32, 4
+#: Bands whose chains are compared first.
+CHAINED = 8
+#: Shingles hashed at a time, pairs made at a time, shingle sets that a task keeps.
+SHINGLES, PAIRS, KEPT = 1 << 11, 1 << 20, 64
+
+_RNG = np.random.default_rng(42)
+_TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+_PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None]
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """Distinct hashes of lower-cased (A-Z) word shingles, sorted; a shorter text is one shingle, no words none."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh3_64_intdigest
+    if len(words) <= width:
+        return np.array([digest(joined)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-width] + 1)).tolist()
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sets is at least `least`; that of two empty ones is 1."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def keys(s: np.ndarray) -> bytes:
+    """The BANDS keys of a shingle set, 8 bytes each; none for an empty set."""
+    if not len(s):
+        return b""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(s), SHINGLES):
+        np.minimum(least, (s[None, at : at + SHINGLES] * _TIMES + _PLUS).min(1), out=least)
+    raw, n = least.tobytes(), 8 * ROWS
+    return b"".join(xxhash.xxh3_64_digest(raw[n * k : n * k + n], k) for k in range(BANDS))
+
+
+def _printed(width: int):
+    def run(batches):
+        for b in batches:
+            nodes, bands = [], []
+            for t in b.column(1).to_pylist():
+                s = shingles(t, width)
+                nodes.append(np.frombuffer(xxhash.xxh3_64_digest(s.tobytes()), np.int64)[0])
+                bands.append(keys(s))
+            yield pa.record_batch([b.column(0), pa.array(nodes, pa.int64()), pa.array(bands, pa.binary()), b.column(1)], ["doc_id", "node", "bands", "text"])
+
+    return run
+
+
+def _entries(count: int):
+    """(key, node) of the first `count` bands."""
+
+    def run(batches):
+        for b in batches:
+            nodes, bands = b.column(0).to_numpy(), b.column(1).to_pylist()
+            has = np.array([len(x) > 0 for x in bands], bool)
+            packed = b"".join(x[: 8 * count] for x in bands)
+            key = np.frombuffer(packed, np.int64) if packed else np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(key), pa.array(np.repeat(nodes[has], count))], ["key", "node"])
+
+    return run
+
+
+def _whole_keys(run):
+    """run(columns) over entries sorted by key, a million and more at a time, cut between keys."""
+
+    def wrapped(batches):
+        held: list = []
+        n = 0
+        for b in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            n += b.num_rows
+            if n >= 1 << 20:
+                x = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut = int(np.searchsorted(x[0], x[0][-1]))
+                if cut:
+                    yield from run(*(c[:cut] for c in x))
+                held, n = [[c[cut:] for c in x]], len(x[0]) - cut
+        if held:
+            yield from run(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return wrapped
+
+
+def _batch(a: np.ndarray, b: np.ndarray):
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+
+
+def _chain(key, node):
+    """Pairs of neighbours among each key's nodes, in an order that differs between keys."""
+    x = (node ^ key).view(np.uint64) * _MIX
+    order = np.lexsort((x ^ (x >> np.uint64(29)), key))
+    key, node = key[order], node[order]
+    at = np.flatnonzero(key[1:] == key[:-1])
+    yield _batch(node[at], node[at + 1])
+
+
+def _apart(key, node, label):
+    """All pairs of each key's nodes whose labels differ."""
+    order = np.lexsort((label, key))
+    key, node, label = key[order], node[order], label[order]
+    last = np.append(np.flatnonzero(key[1:] != key[:-1]), len(key) - 1)
+    end = np.repeat(last + 1, np.diff(last, prepend=-1))
+    last = np.append(np.flatnonzero((key[1:] != key[:-1]) | (label[1:] != label[:-1])), len(key) - 1)
+    start = np.repeat(last + 1, np.diff(last, prepend=-1))
+    # Each entry with those behind its label's block, up to the end of its key.
+    i = np.flatnonzero(end > start)
+    todo = (end - start)[i]
+    total = np.cumsum(todo)
+    at = 0
+    while at < len(i):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS)))
+        n = todo[at:to]
+        left = np.repeat(i[at:to], n)
+        right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[i[at:to]], n)
+        yield _batch(node[left], node[right])
+        at = to
+
+
+def _verified(width: int, least: float):
+    def run(batches):
+        memo: dict = {}
+
+        def of(node, text):
+            s = memo.get(node)
+            if s is None:
+                if len(memo) >= KEPT:
+                    memo.clear()
+                s = memo[node] = shingles(text, width)
+            return s
+
+        for b in batches:
+            u, v, a, c = (x.to_pylist() for x in b.columns)
+            hit = pa.array([similar(of(*p), of(*q), least) for p, q in zip(zip(u, a), zip(v, c))], pa.bool_())
+            yield b.select(["u", "v"]).filter(hit)
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """(doc_id, node long, component_id) of every row of docs (doc_id, text; more columns are ignored).
+
+    Texts link if the Jaccard similarity of their sets of `width`-word shingles is at least `least`;
+    component_id is the least doc_id reachable. Null and wordless texts have an empty set and link with each
+    other only. Rows that repeat are rows of their own. Rows with a null doc_id link too; a component with
+    null ids only has a null component_id. An empty table gives an empty table.
+    """
+    spark = docs.sparkSession
+    prints = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(_printed(width), 1000), "doc_id long, node long, bands binary, text binary")
+    prints = table(prints, "jac")
+    classes = table(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "jacc")
+
+    def entries(count):
+        return classes.select("node", "bands").mapInArrow(tidy(_entries(count)), "key long, node long")
+
+    def pairs(e, run):
+        return e.repartition(parts(spark), "key").sortWithinPartitions("key").mapInArrow(tidy(_whole_keys(run)), "u long, v long").distinct()
+
+    def verified(p):
+        wanted = p.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        texts = table(prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "jact")
+        a = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
+        b = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
+        found = table(p.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(tidy(_verified(width, least), 200), "u long, v long"), "jacl")
+        drop_table(texts)
+        return found
+
+    first = table(pairs(entries(CHAINED), _chain), "jacp")
+    links = verified(first)
+    found = components(links)
+    label = F.coalesce("component", "node").alias("label")
+    named = entries(BANDS).join(found.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("key", "node", label)
+    second = table(pairs(named, _apart).join(first, ["u", "v"], "left_anti"), "jacp")
+    more = verified(second)
+    found = components(links.unionAll(more))
+    named = table(classes.join(found, "node", "left").select("node", "rep", label), "jacn")
+    ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = named.join(ids, "label").select(F.col("node").alias("at"), "component_id")
+    for spent in (classes, first, second, links, more):
+        drop_table(spent)
+    return prints.join(named, F.col("node") == F.col("at")).select("doc_id", "node", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """docs without near duplicates: of each component the rows of its least doc_id, all columns kept.
+
+    Rows that repeat that doc_id all stay; rows without a doc_id stay where their component has no other.
+    """
+    kept = near_duplicates(docs, width, least).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")

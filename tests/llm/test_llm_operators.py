@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tamarack.llm import chat, covertree, katz, langid, linededup, mixing, pieces, quality, rules, simhash
+from tamarack.llm import chat, covertree, jaccard, katz, langid, linededup, mixing, pieces, quality, rules, simhash
 
 WS = " \t\n\v\f\r"
 
@@ -454,9 +454,80 @@ def test_suffix_ranges_find_every_occurrence():
             assert e[a, n] == named.get(text[a : a + n] if a + n <= len(text) else "", -1)
 
 
+# Near-dedup by shingles
+
+
+def brute_shingles(text, width=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def brute_near(rows, least=0.8):
+    sets = [brute_shingles(t) for _, t, *_ in rows]
+    _, find = (parts := union(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if not sets[a] | sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parts[0][y] = x
+    least_id = {}
+    for k, (i, *_) in enumerate(rows):
+        if i is not None:
+            least_id[find(k)] = min(i, least_id.get(find(k), i))
+    return Counter((i, least_id.get(find(k))) for k, (i, *_) in enumerate(rows))
+
+
+def near_copies(rng, base, n, edits):
+    words = base.split()
+    for _ in range(n):
+        w = list(words)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        yield " ".join(w)
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_jaccard_matches_brute_force(spark, monkeypatch, corpus, few):
+    rng = random.Random(4)
+    if few:
+        monkeypatch.setattr(jaccard, "PAIRS", 7)
+    rows = list(corpus)
+    for k in range(12):
+        base = prose(rng, rng.randint(40, 200), [f"v{j}" for j in range(500)])
+        rows += [(1000 + 100 * k + j, t, "en", "a", 0) for j, t in enumerate(near_copies(rng, base, 15, 6))]
+    d = docs_of(spark, rows).selectExpr("*", "1 AS node", "2 AS rep", "3 AS label", "4 AS bands")
+    assert Counter((r.doc_id, r.component_id) for r in jaccard.near_duplicates(d).collect()) == brute_near(rows)
+    kept = jaccard.one_of_each(docs_of(spark, rows))
+    assert kept.columns == docs_of(spark, []).columns
+    assert {r.doc_id for r in kept.collect()} == {c for _, c in brute_near(rows)}
+    assert jaccard.near_duplicates(docs_of(spark, [])).collect() == []
+
+
+def test_pairs_apart_are_all_pairs_with_other_labels():
+    rng = np.random.default_rng(1)
+    key, node, label = np.sort(rng.integers(0, 9, 200)), np.arange(200), rng.integers(0, 4, 200)
+    want = {(a, b) for a in range(200) for b in range(a + 1, 200) if key[a] == key[b] and label[a] != label[b]}
+    got = [(u, v) for b in jaccard._apart(key, node, label) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 # Pipeline
 
 
+def test_pipeline_drops_near_copies_with_changed_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    words = prose(rng, 200, [f"w{k}" for k in range(300)]).split()
+    near = list(words)
+    near[20] = near[100] = near[180] = "changed"
+    far = [f"y{k}" if k % 10 == 0 else w for k, w in enumerate(words)]
+    rows = [(1, " ".join(words), "en", "a", 0), (2, " ".join(near), "en", "a", 0), (3, " ".join(far), "en", "a", 0)]
+    assert (simhash.fingerprint(rows[0][1].encode()) ^ simhash.fingerprint(rows[1][1].encode())) & (1 << 64) - 1
+    assert {r.doc_id for r in simhash.one_of_each(docs_of(spark, rows)).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs_of(spark, rows), None).collect()} == {1, 3}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
