@@ -24,7 +24,7 @@ from tamarack.llm.common import tidy, trim_memory
 
 BITS = 18
 #: Rows that the model is fitted on at most, taken in order of a hash of doc_id.
-MAX_TRAIN_ROWS = 8_000
+MAX_TRAIN_ROWS = 12_000
 #: Weight of a share against a presence; times that a feature must occur in the sample; words kept by a task.
 SHARE, LEAST, KEPT = 8.0, 3, 300_000
 #: G statistic from which a word marks a grade; words that mark none have weight 0.
@@ -83,25 +83,27 @@ class Model:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, steps: int = 300, l2: float = 1e-5, rate: float = 0.1) -> Model:
     """Maximum likelihood with an L2 penalty by Adam over all rows; the same input gives the same model."""
     n = len(rows)
-    size = np.fromiter((len(r[0]) for r in rows), np.int64, n)
-    slot = np.concatenate([r[0] for r in rows]) if n else np.zeros(0, np.int32)
-    value = np.concatenate([r[1] for r in rows]).astype(np.float64) if n else np.zeros(0)
-    row = np.repeat(np.arange(n), size)
+    # Rows go a few at a time, and only the entries of used features are kept: all of them are many times the texts' size.
+    seen, shape = np.zeros((levels, 1 << BITS), np.int64), np.zeros(1 << BITS, bool)
+    for (slot, value), g in zip(rows, grades.tolist()):
+        seen[g, slot] += 1
+        shape[slot[value != 1.0]] = True
+    count = seen.sum(0)
     often = np.zeros(1 << BITS, bool)
-    count = np.bincount(slot, minlength=1 << BITS)
     for g in range(levels):
         # Signed G statistic of the rows of this grade among the feature's rows.
-        seen = np.bincount(slot[grades[row] == g], minlength=1 << BITS)
         expected = count * max((grades == g).mean() if n else 0.0, 1e-9)
         with np.errstate(divide="ignore", invalid="ignore"):
-            often |= (seen >= LEAST) & (seen >= LIFT * expected) & (2 * seen * np.log(seen / expected) >= MARK)
-    shapes = value != 1.0
-    often[np.unique(slot[shapes])] = count[np.unique(slot[shapes])] >= LEAST
+            often |= (seen[g] >= LEAST) & (seen[g] >= LIFT * expected) & (2 * seen[g] * np.log(seen[g] / expected) >= MARK)
+    often[shape] = count[shape] >= LEAST
     used = np.flatnonzero(often)
     at = np.full(1 << BITS, -1)
     at[used] = np.arange(len(used))
-    keep = often[slot]
-    slot, value, row = at[slot[keep]], value[keep], row[keep]
+    kept = [(at[slot[k]], value[k].astype(np.float64)) for slot, value in rows for k in (often[slot],)]
+    row = np.repeat(np.arange(n), np.fromiter((len(s) for s, _ in kept), np.int64, n))
+    slot = np.concatenate([s for s, _ in kept]) if n else np.zeros(0, np.int64)
+    value = np.concatenate([v for _, v in kept]) if n else np.zeros(0)
+    del kept, seen
     share = (np.cumsum(np.bincount(grades, minlength=levels))[:-1] + 0.5) / (n + 1.0)
     theta = np.log(share / (1 - share))
     p = np.concatenate((np.zeros(len(used)), theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))))
@@ -158,13 +160,17 @@ def train(docs: DataFrame, grades: DataFrame, levels: int, max_rows: int = MAX_T
     got = j.mapInArrow(tidy(_sample_features, 500), "id long, slots array<int>, vals array<float>, grade int").toArrow()
     if not got.num_rows:
         return None
-    slots, values = (got[c].combine_chunks() for c in ("slots", "vals"))
-    ids, grade, size = got["id"].to_numpy(), got["grade"].to_numpy(), np.diff(slots.offsets.to_numpy())
+    ids, grade = got["id"].to_numpy(), got["grade"].to_numpy()
+    rows = []
+    # Views of the chunks: no copy of the features is made.
+    for b in got.to_batches():
+        flat, vals, off = b["slots"].flatten().to_numpy(), b["vals"].flatten().to_numpy(), np.concatenate(([0], np.cumsum(np.diff(b["slots"].offsets.to_numpy()))))
+        rows += [(flat[x:y], vals[x:y]) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    size = np.fromiter((len(r[0]) for r in rows), np.int64, len(rows))
     # Copies of a document with the same doc_id are training rows of their own, the sample's bound holds.
     order = np.lexsort((grade, size, ids))[:max_rows]
-    flat, vals, off = slots.flatten().to_numpy(), values.flatten().to_numpy(), np.concatenate(([0], np.cumsum(size)))
-    model = fit([(flat[off[k] : off[k + 1]], vals[off[k] : off[k + 1]]) for k in order], grade[order].astype(np.int64), levels)
-    del got, slots, values, flat, vals
+    model = fit([rows[k] for k in order], grade[order].astype(np.int64), levels)
+    del got, rows, flat, vals
     trim_memory()
     return model
 

@@ -176,6 +176,27 @@ def test_quality_learns_order(spark):
     assert (out[900].expected_grade, out[900].kept, out[901].kept) == (0.0, False, False)
 
 
+def test_quality_fits_on_more_than_8000_rows(spark, monkeypatch):
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, *a: seen.append(len(rows)) or fit(rows, *a))
+    d = spark.range(9_000).selectExpr("id AS doc_id", "concat('word', id % 50) AS text")
+    quality.train(d, spark.range(9_000).selectExpr("id AS doc_id", "int(id % 3) AS grade"), 3)
+    assert seen == [9_000]
+
+
+def test_quality_fit_holds_only_used_features():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows = [(np.unique(rng.integers(0, 1 << quality.BITS, 1000)).astype(np.int32), None) for _ in range(1000)]
+    rows = [(s, np.ones(len(s), np.float32)) for s, _ in rows]
+    tracemalloc.start()
+    quality.fit(rows, np.arange(1000) % 3, 3, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+
+
 def test_quality_without_labels(spark, corpus):
     none = spark.createDataFrame([], "doc_id long, grade int")
     d = docs_of(spark, corpus)
