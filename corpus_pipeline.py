@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tamarack.llm import jaccard, linededup, mixing, pieces, quality
+from tamarack.llm import linededup, mixing, pieces, quality, simhash
 from tamarack.llm.common import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,7 +29,7 @@ def dedup_lines(spark, docs, sf_dir):
 
 def dedup_documents(spark, docs, sf_dir):
     """One document of each group of near duplicates (5-word shingles, similarity 0.8): that with the least doc_id."""
-    return jaccard.one_of_each(docs).select(*COLUMNS)
+    return simhash.one_of_each(docs, simhash.similar_duplicates).select(*COLUMNS)
 
 
 def mix(spark, docs, sf_dir):

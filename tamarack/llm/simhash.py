@@ -6,11 +6,18 @@ anchor of the fingerprint. Each fingerprint has one home: the nearest codeword i
 fingerprints at distance 2 or less differ in at most 2 bits of both blocks together, so the second lies
 within radius 3 + i and 3 + j of the first one's home for some i + j <= 2. Copied to all these anchors
 (about 61 of 16,777,216), every pair meets at a home of its own, and no pair is missed.
+
+similar_duplicates() is the same for texts whose word shingles are alike at 0.8 or more, which differ in
+about 0.15 of all bits: fingerprints of 512 bits over 44 blocks of 23, each with the Golay code as anchors.
+Fingerprints at distance 21 or less agree in a whole block, and so share the anchor within radius 3 + 0;
+of pairs further apart, 1 - (1 - P)^44 share one, P being 0.12 at a similarity of 0.8, 0.16 at 0.85 and
+0.23 at 0.9. Pairs that meet are compared by bits and then, exactly, by their shingles.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -221,12 +228,268 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(named, F.col("fp") == F.col("node")).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near duplicates: of each component the rows of its least doc_id, all columns kept.
+#: Width in words and least similarity of near-duplicate stages.
+WIDTH, LEAST = 5, 0.8
+#: 64-bit words of a fingerprint of theirs, and how many of them go with each anchor. Of pairs at the least
+#: similarity, whose differing bits are distributed about binomially, those over DEVIATIONS above the mean aren't compared.
+WORDS, SENT, DEVIATIONS = 8, 2, 3.5
+_TIMES = np.random.default_rng(42).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Two orders of the bits; either is cut into blocks.
+_BLOCKS = 64 * WORDS // BLOCK
+_ORDERS = np.concatenate([np.arange(64 * WORDS) * step % (64 * WORDS) for step in (1, 199)]).reshape(2, -1)[:, : _BLOCKS * BLOCK]
+
+
+def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """Distinct hashes of lower-cased (A-Z) word shingles, sorted; a shorter text is one shingle, no words none."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh3_64_intdigest
+    if len(words) <= width:
+        return np.array([digest(joined)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-width] + 1)).tolist()
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sets is at least `least`; that of two empty ones is 1."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def wide_fingerprint(s: np.ndarray) -> np.ndarray:
+    """SimHash of WORDS * 64 bits of a set of shingle hashes: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(s), 255):  # so many fit a byte
+        x = s[at : at + 255, None] * _TIMES
+        x = (x ^ x >> np.uint64(32)) * _TIMES[::-1]
+        x ^= x >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8)).reshape(-1, 64 * WORDS), 0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(s)).view(np.int64)
+
+
+def homes(fp: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """The anchor (block and codeword) within the covering radius of each block of fingerprints (rows of WORDS)."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)
+    x = bits[:, _ORDERS.ravel()].reshape(len(fp), -1, BLOCK) @ (1 << np.arange(BLOCK))
+    return x ^ lead[_syndrome(x)] | np.arange(x.shape[1]) << BLOCK
+
+
+def most_bits(bits: int, least: float) -> int:
+    """Differing bits up to which fingerprints are compared: the angle of sets at similarity `least` is acos(2s / (1 + s)) at most."""
+    p = math.acos(2 * least / (1 + least)) / math.pi
+    return math.floor(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
+
+
+def _node(s: np.ndarray) -> int:
+    return int(np.frombuffer(xxhash.xxh3_64_digest(s.tobytes()), np.int64)[0])
+
+
+def _printed(width: int):
+    def run(batches):
+        for b in batches:
+            sets = (shingles(t, width) for t in b.column(1).to_pylist())
+            rows = [(_node(s), len(s), wide_fingerprint(s)) for s in sets]
+            nodes, sizes, fp = zip(*rows, strict=True) if rows else ((), (), np.zeros((0, WORDS), np.int64))
+            yield pa.record_batch([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, np.array(fp).T)], ["doc_id", "node", "size", *_FP])
+
+    return run
+
+
+_FP = [f"f{k}" for k in range(WORDS)]
+_ENTRY = ["key", "node", "label", "size", *_FP[:SENT]]
+
+
+def _homed(batches):
+    """An entry for each anchor of each node (node, label, size, fingerprint); none for an empty set."""
+    e, _, starts = _patterns()
+    lead = e[starts[:-1]]
+    for b in batches:
+        for at in range(0, b.num_rows, 2048):
+            node, label, size, *fp = (c.to_numpy(zero_copy_only=False) for c in b.slice(at, 2048).columns)
+            has = size > 0
+            keys = homes(np.stack(fp, 1)[has], lead)
+            again = [np.repeat(x[has], keys.shape[1]) for x in (node, label, size, *fp[:SENT])]
+            yield pa.record_batch([pa.array(keys.ravel()), *map(pa.array, again)], _ENTRY)
+
+
+def _whole_keys(run):
+    """run(columns) over entries sorted by key, a million and more at a time, cut between keys."""
+
+    def wrapped(batches):
+        held: list = []
+        n = 0
+        for b in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            n += b.num_rows
+            if n >= 1 << 20:
+                x = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut = int(np.searchsorted(x[0], x[0][-1]))
+                if cut:
+                    yield from run(*(c[:cut] for c in x))
+                held, n = [[c[cut:] for c in x]], len(x[0]) - cut
+        if held:
+            yield from run(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return wrapped
+
+
+def _near_pairs(i, j, node, label, size, fp, least: float):
+    """Of the pairs of entries (i, j): those of other labels whose sizes and bits allow a similarity of `least`."""
+    ok = label[i] != label[j]
+    ok &= np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9
+    i, j = i[ok], j[ok]
+    d = sum(np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).astype(np.int64) for f in fp)
+    ok = d <= most_bits(64 * len(fp), least)
+    a, b = node[i[ok]], node[j[ok]]
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d[ok])], ["u", "v", "d"])
+
+
+def _chain(least: float):
+    """Near pairs of neighbours among each anchor's entries, in order of their bits."""
+
+    def run(key, node, label, size, *fp):
+        order = np.lexsort((fp[0], key))
+        key, node, label, size, *fp = (c[order] for c in (key, node, label, size, *fp))
+        i = np.flatnonzero(key[1:] == key[:-1])
+        yield _near_pairs(i, i + 1, node, label, size, fp, least)
+
+    return run
+
+
+def _ranges(i, lo, hi):
+    """Pairs (i, j) for lo <= j < hi, PAIRS and more at a time."""
+    n = np.maximum(hi - lo, 0)
+    total = np.cumsum(n)
+    at = 0
+    while at < len(i):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS)))
+        k = n[at:to]
+        yield np.repeat(i[at:to], k), np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[at:to], k)
+        at = to
+
+
+def _apart(least: float):
+    """All near pairs of each anchor's entries whose labels differ; members of one label are never paired.
+
+    Labels with one entry at the anchor are sorted by size, so that any entry meets those of a fitting size
+    only. The others are sorted by label; each entry meets those behind its label's block.
+    """
+
+    def run(key, node, label, size, *fp):
+        order = np.lexsort((label, key))
+        key, node, label, size, *fp = (c[order] for c in (key, node, label, size, *fp))
+        new = np.append(True, (key[1:] != key[:-1]) | (label[1:] != label[:-1]))
+        block = np.cumsum(new) - 1
+        many = np.bincount(block)[block] > 1
+        order = np.lexsort((np.where(many, label, size), ~many, key))
+        key, node, label, size, many, *fp = (c[order] for c in (key, node, label, size, many, *fp))
+        # Places of single entries' (anchor, size), as one ascending number.
+        rank = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        single, wide = np.flatnonzero(~many), int(size.max()) + 2
+        placed = rank[single] * wide + size[single]
+        i = np.arange(len(key))
+        low = np.searchsorted(placed, rank * wide + np.ceil(least * size - 1e-9).astype(np.int64))
+        high = np.searchsorted(placed, rank * wide + np.minimum(np.floor(size / least + 1e-9).astype(np.int64), wide - 1), "right")
+        at = np.cumsum(~many)
+        low = np.where(many, low, at)
+        for x, y in _ranges(i, low, high):
+            yield _near_pairs(x, single[y], node, label, size, fp, least)
+        block_end = np.flatnonzero(np.append((key[1:] != key[:-1]) | (label[1:] != label[:-1]) | ~many[1:], True)) + 1
+        many_end = np.flatnonzero(np.append((key[1:] != key[:-1]) | (many[1:] != many[:-1]), True)) + 1
+        start = block_end[np.searchsorted(block_end, i, "right")]
+        end = many_end[np.searchsorted(many_end, i, "right")]
+        for x, y in _ranges(i[many], start[many], end[many]):
+            yield _near_pairs(x, y, node, label, size, fp, least)
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t, width) for t in b.column(0).to_pylist()]
+            yield pa.record_batch([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "s"])
+
+    return run
+
+
+def _verified(least: float):
+    def run(batches):
+        for b in batches:
+            a, c = (b.column(k).to_pylist() for k in (2, 3))
+            hit = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(a, c, strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(hit, pa.bool_()))
+
+    return run
+
+
+def similar_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """(doc_id, node long, component_id) of every row of docs (doc_id, text; more columns are ignored).
+
+    Texts link if the Jaccard similarity of their sets of `width`-word shingles is at least `least` and
+    their fingerprints share an anchor; component_id is the least doc_id reachable. Texts with equal sets
+    are one node: copies are never paired. First a few near neighbours of each node are compared; of the
+    other pairs that meet, only those not connected by then, but all of them. So a large group of near
+    copies costs a multiple of its size, not its square.
+    Null and wordless texts have an empty set and link with each other only. Rows that repeat are rows of
+    their own. Rows with a null doc_id link too; a component with null ids only has a null component_id.
+    An empty table gives an empty table.
+    """
+    spark = docs.sparkSession
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    fields = ", ".join(f"{f} long" for f in _FP)
+    prints = table(texts.mapInArrow(tidy(_printed(width), 1000), f"doc_id long, node long, size long, {fields}"), "sim")
+    classes = table(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("size", *_FP))), "simc")
+    entry = f"key long, node long, label long, size long, {', '.join(f'{f} long' for f in _FP[:SENT])}"
+
+    def met(labelled, run):
+        e = labelled.select("node", "label", "size", *_FP).mapInArrow(tidy(_homed), entry)
+        return e.repartition(parts(spark), "key").sortWithinPartitions("key").mapInArrow(tidy(_whole_keys(run)), "u long, v long, d long")
+
+    def verified(p):
+        def side(k):
+            return classes.select(F.col("node").alias(k), *(F.col(f).alias(k + f) for f in _FP))
+
+        apart = sum((F.bit_count(F.col("u" + f).bitwiseXOR(F.col("v" + f))) for f in _FP), F.lit(0))
+        p = table(p.join(side("u"), "u").join(side("v"), "v").where(apart <= most_bits(64 * WORDS, least)).select("u", "v"), "simp")
+        wanted = table(p.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes.select("node", "rep"), "node"), "simw")
+        ids = wanted.select(F.col("rep").alias("__id")).distinct()
+        sets = texts.join(ids, texts["doc_id"].eqNullSafe(F.col("__id")), "left_semi").select("text").mapInArrow(tidy(_sets(width), 500), "node long, s binary")
+        sets = table(sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("s").alias("s")), "sims")
+        a, b = (sets.select(F.col("node").alias(k), F.col("s").alias(k + "s")) for k in "uv")
+        found = table(p.join(a, "u").join(b, "v").select("u", "v", "us", "vs").mapInArrow(tidy(_verified(least), 500), "u long, v long"), "siml")
+        for spent in (p, wanted, sets):
+            drop_table(spent)
+        return found
+
+    # Of each node's neighbours: the nearest, and two by hashes, so that a group of near copies hangs together.
+    pairs = met(classes.withColumn("label", F.col("node")), _chain(least))
+    ends = pairs.select("d", F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("o")), F.struct(F.col("v").alias("n"), F.col("u").alias("o")))).alias("x")).select("d", "x.*")
+    few = ends.groupBy("n").agg(F.array(*(F.min(F.struct(by.cast("long").alias("by"), "o")) for by in (F.col("d"), F.xxhash64("n", "o"), F.xxhash64("o", "n", F.lit(1))))).alias("few"))
+    first = few.select("n", F.explode("few.o").alias("o")).select(F.least("n", "o").alias("u"), F.greatest("n", "o").alias("v")).distinct()
+    links = verified(first)
+    found = components(links)
+    labelled = classes.join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    more = verified(met(labelled, _apart(least)).select("u", "v").distinct())
+    found = components(links.unionAll(more))
+    named = table(classes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("label")), "simn")
+    least_id = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = named.join(least_id, "label").select(F.col("node").alias("at"), "component_id")
+    for spent in (classes, links, more):
+        drop_table(spent)
+    return prints.join(named, F.col("node") == F.col("at")).select("doc_id", "node", "component_id")
+
+
+def one_of_each(docs: DataFrame, near=near_duplicates) -> DataFrame:
+    """docs without near duplicates: of each component of near(docs) the rows of its least doc_id, all columns kept.
 
     Rows that repeat that doc_id all stay; rows without a doc_id stay where their component has no other.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
+    kept = near(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tamarack.llm import chat, covertree, jaccard, katz, langid, linededup, mixing, pieces, quality, rules, simhash
+from tamarack.llm import chat, covertree, katz, langid, linededup, mixing, pieces, quality, rules, simhash
 
 WS = " \t\n\v\f\r"
 
@@ -508,30 +508,57 @@ def near_copies(rng, base, n, edits):
 
 
 @pytest.mark.parametrize("few", [False, True])
-def test_jaccard_matches_brute_force(spark, monkeypatch, corpus, few):
+def test_similar_duplicates_match_brute_force(spark, monkeypatch, corpus, few):
     rng = random.Random(4)
     if few:
-        monkeypatch.setattr(jaccard, "PAIRS", 7)
+        monkeypatch.setattr(simhash, "PAIRS", 7)
     rows = list(corpus)
     for k in range(12):
         base = prose(rng, rng.randint(40, 200), [f"v{j}" for j in range(500)])
         rows += [(1000 + 100 * k + j, t, "en", "a", 0) for j, t in enumerate(near_copies(rng, base, 15, 6))]
-    d = docs_of(spark, rows).selectExpr("*", "1 AS node", "2 AS rep", "3 AS label", "4 AS bands")
-    assert Counter((r.doc_id, r.component_id) for r in jaccard.near_duplicates(d).collect()) == brute_near(rows)
-    kept = jaccard.one_of_each(docs_of(spark, rows))
+    d = docs_of(spark, rows).selectExpr("*", "1 AS node", "2 AS rep", "3 AS label", "4 AS f0", "5 AS d")
+    assert Counter((r.doc_id, r.component_id) for r in simhash.similar_duplicates(d).collect()) == brute_near(rows)
+    kept = simhash.one_of_each(docs_of(spark, rows), simhash.similar_duplicates)
     assert kept.columns == docs_of(spark, []).columns
     assert {r.doc_id for r in kept.collect()} == {c for _, c in brute_near(rows)}
-    assert jaccard.near_duplicates(docs_of(spark, [])).collect() == []
+    assert simhash.similar_duplicates(docs_of(spark, [])).collect() == []
 
 
-def test_pairs_apart_are_all_pairs_with_other_labels():
+@pytest.mark.parametrize("pairs", [7, 1 << 20])
+def test_pairs_apart_are_all_pairs_with_other_labels_and_fitting_sizes(monkeypatch, pairs):
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
     rng = np.random.default_rng(1)
-    key, node, label = np.sort(rng.integers(0, 9, 200)), np.arange(200), rng.integers(0, 4, 200)
-    want = {(a, b) for a in range(200) for b in range(a + 1, 200) if key[a] == key[b] and label[a] != label[b]}
-    got = [(u, v) for b in jaccard._apart(key, node, label) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)]
+    n = 300
+    key, node, label, size = np.sort(rng.integers(0, 9, n)), rng.permutation(n), rng.integers(0, 60, n), rng.integers(5, 30, n)
+    fp = [np.zeros(n, np.int64)] * 2
+    want = {(min(node[a], node[b]), max(node[a], node[b])) for a in range(n) for b in range(a) if key[a] == key[b] and label[a] != label[b] and min(size[a], size[b]) >= 0.8 * max(size[a], size[b])}
+    got = [(u, v) for b in simhash._apart(0.8)(key, node, label, size, *fp) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)]
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_wide_fingerprints_at_21_bits_share_an_anchor_and_similar_sets_mostly_do():
+    rng = np.random.default_rng(2)
+    e, _, starts = simhash._patterns()
+    lead = e[starts[:-1]]
+
+    def share(a, b):
+        return (simhash.homes(a[None], lead) == simhash.homes(b[None], lead)).any()
+
+    met = 0
+    for k in range(300):
+        fp = rng.integers(-(1 << 63), 1 << 63, simhash.WORDS)
+        bits = np.unpackbits(fp.view(np.uint8))
+        bits[rng.choice(64 * simhash.WORDS, 21, replace=False)] ^= 1
+        assert share(fp, np.packbits(bits).view(np.int64))
+        both, own = rng.integers(0, 1 << 63, 160, np.uint64), rng.integers(0, 1 << 63, 40, np.uint64)
+        a, b = np.unique(np.append(both, own[:20])), np.unique(np.append(both, own[20:]))
+        assert simhash.similar(a, b, 0.8)
+        x, y = simhash.wide_fingerprint(a), simhash.wide_fingerprint(b)
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= simhash.most_bits(64 * simhash.WORDS, 0.8) or k
+        met += share(x, y)
+    assert met >= 295
+
+
 # Pipeline
 
 
