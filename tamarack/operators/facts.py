@@ -193,7 +193,8 @@ def error_edges(sources: DataFrame, max_states: int = 100_000) -> DataFrame:
     """Edges that errors take: a walk of each graph's (node, policy, fault) states.
 
     Policies are none (the error leaves the procedure), next (the statement is skipped) and a handler's
-    label. A fault while a handler runs leaves the procedure; Resume ends it.
+    label. A fault while a handler runs leaves the procedure; Resume ends it. A walk of over max_states
+    states ends there, with a row that has the condition "truncated" and no nodes.
     """
 
     def walk(body):
@@ -227,7 +228,8 @@ def error_edges(sources: DataFrame, max_states: int = 100_000) -> DataFrame:
                 work += [(d, policy, None) for d in to]
                 continue
             work += [(d, policy, fault) for d in after.get(n, [])]
-        return sorted(set(out))
+        cut = [(None, None, "truncated", None)] if work else []
+        return sorted(set(out)) + cut
 
     def run(batches):
         for b in batches:

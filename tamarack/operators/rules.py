@@ -23,6 +23,23 @@ PRIMITIVES = {
     "remoteTemplateInjection": r"(?i)attachedTemplate[^>]*https?://",
     "relationshipCloak": r"%00|‮|(?i:%6a%61%76%61|\\\\\.\\pipe|127\.0\.0\.1@)",
     "veryHidden": r"(?i)state=\"veryHidden\"",
+    "remoteWorkbook": r"(?i)(\\\\[^\\\s\"<>]+\\|https?://)[^\"<>\[\]]*\[[^\]\"<>]+\]",
+    "webService": r"(?i)(WEBSERVICE|FILTERXML)\s*\(",
+    "hyperlinkPayload": r"(?i)HYPERLINK\s*\([^)]*(\.(exe|scr|bat|cmd|ps1|hta|vbs|jse?|lnk|zip|iso)|search-ms:|ms-msdt:)",
+    "rtdCall": r"(?i)RTD\s*\(",
+    "autoName": r"(?i)definedName[^>]*name=\"(_xlnm\.)?auto_?(open|close|activate|deactivate)",
+    "externalOle": r"(?i)<Relationship\s[^>]*(oleObject[^>]*TargetMode=\"External\"|TargetMode=\"External\"[^>]*oleObject)",
+    "externalSubdocument": r"(?i)<Relationship\s[^>]*((subDocument|frame)\"[^>]*TargetMode=\"External\"|TargetMode=\"External\"[^>]*(subDocument|frame)\")",
+    "truncatedSignature": r"(?s)\A.{0,7}\z",
+    "fieldCode": r"(?i)instrText[^>]*>[^<]*(DDEAUTO|DDE|INCLUDETEXT|LINK)\s",
+    "altChunkPayload": r"(?i)(<script|\{\\rtf|aFChunk\"[^>]*TargetMode=\"External\")",
+    "dialogMacro": r"(?i)FmlaMacro",
+    "contentType": r"(?i)(PartName=\"[^\"]*/\.\./|application/(x-msdownload|hta)|PartName=\"[^\"]*\.(png|jpe?g|gif)\"[^>]*vbaProject)",
+    "lockStructure": r"(?i)lockStructure=\"(1|true)\"",
+    "viewEvasion": r"(?i)(<(col|row)\s[^>]*(hidden=\"(1|true)\"|\s(width|ht)=\"0\")|topLeftCell=\"[A-Z]{3}[0-9]+\"|showGridLines=\"0\"[^>]*showRowColHeaders=\"0\")",
+    "moniker": r"(?i)((moniker|script|composite|file):|UpdateMode=\"Always\"|auto(Update|Activate)=\"(1|true)\")",
+    "namespaceCloak": r"(?i)(xmlns(:[a-z0-9]+)?|schemaLocation)=\"[^\"]*\\\\[^\"]+",
+    "bindingXPath": r"(?i)(xpath|prefixMappings)=\"[^\"]*(\\\\|https?://|document\()",
 }
 
 #: Parts that a rule looks at (a pattern on the path) and the primitives that count there.
@@ -80,6 +97,51 @@ SCOPES = (
     (92, r"^ppt/(viewProps|tableStyles)", ("uncCoercion", "stagedCommand", "dangerousProtocol")),
     (93, r"^word/numbering", ("uncCoercion", "stagedCommand", "dangerousProtocol")),
     (94, r"^xl/(metadata|richData)", ("uncCoercion", "stagedCommand", "dangerousProtocol")),
+    (3, r"^xl/worksheets/", ("remoteWorkbook",)),
+    (4, r"^xl/worksheets/", ("webService",)),
+    (5, r"^xl/worksheets/", ("hyperlinkPayload",)),
+    (6, r"^xl/workbook\.xml$", ("autoName",)),
+    (12, r"\.rels$", ("externalOle",)),
+    (14, r"\.rels$", ("externalSubdocument",)),
+    (20, r"^xl/(worksheets/|workbook\.xml$)", ("rtdCall",)),
+    (22, r"vbaProjectSignature.*\.bin$", ("truncatedSignature",)),
+    (23, r"^word/(document|header|footer)", ("fieldCode", "uncCoercion")),
+    (25, r"(?i)afchunk|^word/_rels/document", ("altChunkPayload", "peBinary")),
+    (27, r"^xl/dialogsheets/", ("dialogMacro",)),
+    (28, r"^\[Content_Types\]\.xml$", ("contentType",)),
+    (31, r"^xl/workbook\.xml$", ("lockStructure",)),
+    (32, r"\.(xml|rels|png|jpe?g|gif)$", ("peBinary",)),
+    (33, r"^xl/worksheets/", ("viewEvasion",)),
+    (36, r"/fonts/|\.(odttf|ttf|woff2?)$", ("peBinary", "stagedCommand")),
+    (41, r"\.(wmf|emf)$", ("peBinary", "stagedCommand")),
+    (45, r"^word/(_rels/)?settings", ("databaseCommand", "uncCoercion", "executableTarget")),
+    (48, r"/(embeddings|drawings|slides)/", ("moniker",)),
+    (49, r"\.(xml|rels)$", ("namespaceCloak", "xxeDtdDeclaration")),
+    (52, r"^word/document", ("bindingXPath",)),
+    (58, r"^word/glossary/", ("remoteTemplateInjection", "uncCoercion", "dangerousProtocol", "peBinary")),
+    (61, r"^xl/worksheets/|scenario|consolidat", ("cloakedDde", "xlmCall", "stagedCommand", "uncCoercion")),
+    (62, r"^ppt/slides/", ("stagedCommand", "uncCoercion", "dangerousProtocol", "peBinary")),
+    (65, r"pivotCache/", ("uncCoercion", "databaseCommand", "dangerousProtocol", "cloakedDde", "peBinary")),
+    (72, r"^xl/(tables|slicers|timelines)/", ("uncCoercion", "cloakedDde", "databaseCommand", "peBinary")),
+    (73, r"^word/settings|recipientData", ("uncCoercion", "dangerousProtocol", "databaseCommand")),
+    (77, r"^ppt/(commentAuthors|syncInfo|slideSync)", ("uncCoercion", "cloakedDde", "dangerousProtocol", "stagedCommand")),
+    (79, r"^xl/(webPublish|worksheets/)", ("uncCoercion", "dangerousProtocol", "stagedCommand")),
+    (80, r"^ppt/(handout|notes)Masters/", ("uncCoercion", "cloakedDde", "dangerousProtocol", "stagedCommand")),
+    (81, r"^word/glossary/(settings|webSettings|fontTable)", ("uncCoercion", "macroHook", "dangerousProtocol", "executableTarget")),
+    (83, r"^word/(subDocument|masterDocument)", ("uncCoercion", "dangerousProtocol", "stagedCommand", "peBinary")),
+    (84, r"^ppt/(fontTable|fonts/)", ("uncCoercion", "dangerousProtocol", "stagedCommand", "peBinary")),
+    (86, r"^ppt/(viewProps|slideGuides/|guides/)", ("uncCoercion", "dangerousProtocol", "stagedCommand", "peBinary")),
+    (87, r"^word/(mailMergeFilter|recipientData)", ("uncCoercion", "dangerousProtocol", "databaseCommand", "stagedCommand")),
+    (88, r"^xl/(dataServices|externalDataFeeds|dataFeeds)/|connections/dataService", ("uncCoercion", "dangerousProtocol", "databaseCommand", "cloakedDde")),
+    (91, r"^xl/(dataBindings|bindings)/|connections/binding", ("uncCoercion", "dangerousProtocol", "databaseCommand", "cloakedDde", "stagedCommand")),
+)
+
+#: Parts whose mere presence is a finding.
+PRESENT = (
+    (8, r"^xl/macrosheets/"),
+    (11, r"/embeddings/.*\.bin$"),
+    (13, r"(?i)/activex/.*\.bin$"),
+    (32, r"(?i)\.(exe|dll|sys|scr|bat|cmd|ps1|vbs|hta|lnk|iso)$"),
 )
 
 
@@ -90,12 +152,17 @@ def detect(parts: DataFrame, key: list[str], content: str) -> DataFrame:
 
 
 def scan_parts(parts: DataFrame, key: list[str]) -> DataFrame:
-    """(key, rule_id, kind, detector) of parts (part, content): detectors that fire within a rule's scope."""
+    """(key, rule_id, kind, detector) of parts (part, content): detectors that fire within a rule's scope.
+
+    A part whose presence is a finding has the detector "present". Null contents have no other.
+    """
     spark = parts.sparkSession
     scopes = spark.createDataFrame([(n, p, d) for n, p, ds in SCOPES for d in ds], "rule_no int, path string, detector string")
     hits = detect(parts, [*dict.fromkeys([*key, "part"])], "content")
     # The scopes are a fixed table of a few hundred rows at most.
-    j = hits.join(F.broadcast(scopes), "detector").where(F.expr("rlike(part, path)"))
+    j = hits.join(F.broadcast(scopes), "detector").where(F.expr("rlike(part, path)")).select(*key, "rule_no", "detector")
+    there = F.filter(F.array(*[F.when(F.col("part").rlike(p), F.lit(n)) for n, p in PRESENT]), lambda x: x.isNotNull())
+    j = j.unionByName(parts.select(*key, F.explode(there).alias("rule_no"), F.lit("present").alias("detector")))
     kinds = F.array(*[F.lit(k) for k in fixed.CELL_KINDS])
     return j.select(*key, F.concat(F.lit("VBA-CELL-"), F.lpad(F.col("rule_no").cast("string"), 3, "0")).alias("rule_id"), F.element_at(kinds, F.col("rule_no")).alias("kind"), "detector").distinct()
 

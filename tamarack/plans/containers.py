@@ -243,20 +243,24 @@ _DEOBFUSCATED = "SELECT * FROM (VALUES ('A1', 'DDE', 'cmd|''/c calc''!A0'), ('A2
 
 
 def formula_reference_cells(spark, sf_dir):
-    """References of formulas joined to the populated cells they cover."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 400")
-    cells = part.select(F.lit("S").alias("sheet"), F.col("p_partkey").alias("row"), (F.col("p_size") % 5 + 1).cast("long").alias("col"))
-    f = part.where("p_partkey % 40 = 1").select(F.lit("w").alias("path"), F.lit("S").alias("sheet"), F.concat(F.lit("Z"), "p_partkey").alias("cell"), F.format_string('SUM(A%d:C%d)+$E$5&"A1"', F.col("p_partkey"), F.col("p_partkey") + 19).alias("formula"))
-    refs = workbook.formula_references(f).select(F.concat_ws("#", "cell", "ordinal").alias("range_id"), F.col("ref_sheet").alias("sheet"), "row1", "row2", "col1", "col2", "absolute")
-    found = joins.range_cells(cells, refs.drop("absolute"), tile=64)
-    counts = found.groupBy("range_id").agg(F.count("*").alias("n"))
-    return refs.join(counts, "range_id", "left").select("range_id", "absolute", F.coalesce("n", F.lit(0)).alias("n_cells"))
+    """A formula for each part, its references joined to the populated cells they cover."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    # A million parts a sheet, which has rows for no more.
+    sheet, row = F.concat(F.lit("S"), F.floor(F.col("p_partkey") / 1000000)), F.col("p_partkey") % 1000000 + 1
+    cells = part.select(sheet.alias("sheet"), row.alias("row"), (F.col("p_size") % 5 + 1).cast("long").alias("col"))
+    f = part.select(F.lit("w").alias("path"), sheet.alias("sheet"), F.concat(F.lit("Z"), "p_partkey").alias("cell"), F.format_string('SUM(A%d:C%d)+$E$5&"A1"', row, row + 19).alias("formula"))
+    bounds = ["sheet", "row1", "row2", "col1", "col2"]
+    refs = workbook.formula_references(f).select(F.concat_ws("#", "cell", "ordinal").alias("range_id"), F.col("ref_sheet").alias("sheet"), *bounds[1:], "absolute")
+    # Equal ranges meet the cells once, however many formulas have them.
+    ranges = refs.select(*bounds).distinct().withColumn("range_id", F.struct(*bounds))
+    counts = joins.range_cells(cells, ranges, tile=64).groupBy("range_id").agg(F.count("*").alias("n")).select("range_id.*", "n")
+    return refs.join(counts, bounds, "left").select("range_id", "absolute", F.coalesce("n", F.lit(0)).alias("n_cells"))
 
 
 _REFERENCES = """
-WITH c AS (SELECT p_partkey AS r, p_size % 5 + 1 AS col FROM part WHERE p_partkey <= 400), f AS (SELECT p_partkey AS k FROM part WHERE p_partkey <= 400 AND p_partkey % 40 = 1)
-SELECT 'Z' || k || '#0' AS range_id, false AS absolute, (SELECT count(*) FROM c WHERE r BETWEEN k AND k + 19 AND col BETWEEN 1 AND 3)::BIGINT AS n_cells FROM f
-UNION ALL SELECT 'Z' || k || '#1', true, (SELECT count(*) FROM c WHERE r = 5 AND col = 5)::BIGINT FROM f"""
+WITH c AS (SELECT p_partkey AS k, p_partkey // 1000000 AS s, p_partkey % 1000000 + 1 AS r, p_size % 5 + 1 AS col FROM part)
+SELECT 'Z' || k || '#0' AS range_id, false AS absolute, coalesce(n, 0)::BIGINT AS n_cells FROM c LEFT JOIN (SELECT f.k, count(*) AS n FROM c JOIN c AS f ON c.r >= f.r AND c.r <= f.r + 19 AND c.s = f.s WHERE c.col <= 3 GROUP BY f.k) USING (k)
+UNION ALL SELECT 'Z' || k || '#1', true, coalesce(n, 0)::BIGINT FROM c LEFT JOIN (SELECT s, count(*) AS n FROM c WHERE r = 5 AND col = 5 GROUP BY s) USING (s)"""
 
 WORKBOOK = (
     ("xl/workbook.xml", '<workbook xmlns="m" xmlns:r="r"><sheets><sheet name="One" sheetId="1" r:id="rId1"/><sheet name="Two" sheetId="2" state="veryHidden" r:id="rId2"/></sheets><definedNames><definedName name="Auto_Open" hidden="1">One!$A$1</definedName></definedNames></workbook>'),

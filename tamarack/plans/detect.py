@@ -219,12 +219,12 @@ def finding_score_rollup(spark, sf_dir):
     """Weighted events as findings: score, severity and verdict by user."""
     severity = F.when(F.col("event_type") == "error", "High").when(F.col("event_type") == "purchase", "Medium").when(F.col("event_type") == "signup", "Low").otherwise("Clean")
     weight = F.when(F.col("event_type") == "error", 5).when(F.col("event_type") == "purchase", 2).otherwise(0)
-    rows = _table(spark, sf_dir, "events").where("value > 60").select("user_id", severity.alias("severity"), weight.alias("weight"))
+    rows = _table(spark, sf_dir, "events").select("user_id", severity.alias("severity"), weight.alias("weight"))
     return stomping.score_reports(rows, ["user_id"]).withColumn("n_findings", F.col("n_findings").cast("long"))
 
 
 _ROLLUP = """
-WITH e AS (SELECT user_id, CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END AS r, CASE event_type WHEN 'error' THEN 5 WHEN 'purchase' THEN 2 ELSE 0 END AS w FROM events WHERE value > 60),
+WITH e AS (SELECT user_id, CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END AS r, CASE event_type WHEN 'error' THEN 5 WHEN 'purchase' THEN 2 ELSE 0 END AS w FROM events),
 g AS (SELECT user_id, least(100, sum(w))::BIGINT AS score, max(r) AS top, count(*)::BIGINT AS n_findings FROM e GROUP BY 1)
 SELECT user_id, score, ['Clean', 'Low', 'Medium', 'High', 'Critical'][greatest(top, CASE WHEN score >= 80 THEN 5 WHEN score >= 50 THEN 4 WHEN score >= 25 THEN 3 WHEN score > 0 THEN 2 ELSE 1 END)] AS severity, score >= 50 AS is_stomped, n_findings FROM g"""
 
@@ -282,19 +282,35 @@ _PRIMITIVE = "WITH p AS (SELECT 'url' AS part, url AS c FROM pages UNION ALL SEL
     f"SELECT part, '{name}' AS detector, count(*)::BIGINT AS n_parts FROM p WHERE regexp_matches(c, '{pattern.replace(chr(39), chr(39) * 2)}') GROUP BY part" for name, pattern in rules.PRIMITIVES.items()
 )
 
+#: Names of parts in an order; a page is taken as the part that its number chooses.
 PARTS = (
-    ("xl/theme/theme1.xml", "<a:latin typeface=\"\\\\evil\\share\\f\"/>"), ("xl/connections.xml", "EXEC xp_cmdshell 'x'"), ("docProps/custom.xml", "cmd.exe /c calc"), ("word/settings.xml", "<w:attachedTemplate href=\"ms-msdt:/id x\"/>"),
-    ("xl/worksheets/sheet1.xml", "<f>=cmd|' /c calc'!A0</f>"), ("xl/media/image1.svg", "<script>javascript:alert(1)</script>"), ("ppt/viewProps.xml", "href=\"\\\\h\\s\\x\""), ("xl/customXml/item1.xml", "<!DOCTYPE x [<!ENTITY a SYSTEM 'b'>]>"), ("word/document.xml", "a clean text"),
+    "xl/theme/theme1.xml", "xl/connections.xml", "docProps/custom.xml", "word/settings.xml", "xl/worksheets/sheet1.xml", "xl/media/image1.svg", "ppt/viewProps.xml", "xl/customXml/item1.xml", "word/document.xml", "xl/macrosheets/sheet1.xml", "word/_rels/document.xml.rels", "ppt/slides/slide1.xml",
+    "xl/embeddings/ole1.bin", "word/glossary/settings.xml", "xl/pivotCache/pivotCacheDefinition1.xml", "[Content_Types].xml", "xl/workbook.xml", "word/fonts/font1.odttf", "ppt/media/run.hta",
 )
 
 
 def part_rules(spark, sf_dir):
-    """Findings by rule of sample parts: detectors in the scope of each rule's parts."""
-    return rules.scan_parts(spark.createDataFrame(list(PARTS), "part string, content string"), ["part"])
+    """Findings by rule of pages taken as parts: detectors in the scope of each rule's parts, over address and markup."""
+    names = F.array(*[F.lit(p) for p in PARTS])
+    parts = _table(spark, sf_dir, "pages").select("page_id", F.element_at(names, (F.col("page_id") % len(PARTS) + 1).cast("int")).alias("part"), F.concat_ws("\n", "url", "html").alias("content"))
+    return rules.scan_parts(parts, ["page_id", "part"])
+
+
+def _quoted(x) -> str:
+    return "'" + str(x).replace("'", "''") + "'"
+
+
+_PART_RULES = f"""
+WITH p AS (SELECT page_id, ([{', '.join(map(_quoted, PARTS))}])[page_id % {len(PARTS)} + 1] AS part, concat_ws(chr(10), url, html) AS content FROM pages),
+d(detector, pattern) AS (VALUES {', '.join(f'({_quoted(n)}, {_quoted(x)})' for n, x in rules.PRIMITIVES.items())}),
+s(rule_no, path, detector) AS (VALUES {', '.join(f'({n}, {_quoted(x)}, {_quoted(k)})' for n, x, ks in rules.SCOPES for k in ks)}),
+h AS (SELECT page_id, part, rule_no, detector FROM p JOIN s ON regexp_matches(part, path) JOIN d USING (detector) WHERE regexp_matches(content, pattern)
+ UNION ALL SELECT page_id, part, rule_no, 'present' FROM p JOIN (VALUES {', '.join(f'({n}, {_quoted(x)})' for n, x in rules.PRESENT)}) t(rule_no, path) ON regexp_matches(part, path))
+SELECT DISTINCT page_id, part, 'VBA-CELL-' || lpad(rule_no::VARCHAR, 3, '0') AS rule_id, ([{', '.join(map(_quoted, fixed.CELL_KINDS))}])[rule_no] AS kind, detector FROM h"""
 
 
 QUERIES = {f.__name__: f for f in (suspicious_literal_scan, sensitive_call_semijoin, auto_exec_hooks, effective_lines, procedure_extract, classify_statements, lex_tokens, conditional_depth, stomping_findings, stomping_reports, project_hidden_modules, finding_score_rollup, severity_max_rollup, rule_catalogue_join, stomp_rules, primitive_scan, part_rules)}
 ORACLES = {
     "suspicious_literal_scan": _SUSPICIOUS, "sensitive_call_semijoin": _SENSITIVE, "auto_exec_hooks": _HOOKS, "effective_lines": _EFFECTIVE_LINES, "procedure_extract": _PROCEDURES, "classify_statements": _CLASSIFY, "lex_tokens": _LEX, "conditional_depth": _CONDITIONAL,
-    "stomping_findings": _STOMP_FINDINGS, "stomping_reports": _STOMP_REPORTS, "project_hidden_modules": _HIDDEN, "finding_score_rollup": _ROLLUP, "severity_max_rollup": _MAX, "rule_catalogue_join": _RULES, "stomp_rules": _STOMP_RULES, "primitive_scan": _PRIMITIVE,
+    "stomping_findings": _STOMP_FINDINGS, "stomping_reports": _STOMP_REPORTS, "project_hidden_modules": _HIDDEN, "finding_score_rollup": _ROLLUP, "severity_max_rollup": _MAX, "rule_catalogue_join": _RULES, "stomp_rules": _STOMP_RULES, "primitive_scan": _PRIMITIVE, "part_rules": _PART_RULES,
 }

@@ -75,19 +75,19 @@ SELECT l.user_id, l.name, l.value FROM l LEFT JOIN w USING (user_id) WHERE event
 
 
 def constant_sources(spark, sf_dir):
-    """Customers' segments as reads of constants that nations, regions and all define."""
+    """Each customer as a read of a name, a constant of its nation (a procedure) and one of its region (a module)."""
     c, n = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
-    reads = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("read_id"), F.col("n_regionkey").alias("module"), F.col("c_nationkey").alias("proc"), F.col("c_mktsegment").alias("name"))
+    reads = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("read_id"), F.col("n_regionkey").alias("module"), F.col("c_nationkey").alias("proc"), F.concat("c_mktsegment", (F.col("c_custkey") % F.lit(1013)).cast("string")).alias("name"))
     d = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    own = d.where("c_custkey % 17 = 0").select(F.col("n_regionkey").alias("module"), F.col("c_nationkey").alias("proc"), F.col("c_mktsegment").alias("name"), F.lit(False).alias("is_public"), F.col("c_custkey").alias("value"))
-    shared = d.where("c_custkey <= 6").select(F.col("n_regionkey").alias("module"), F.lit(None).cast("int").alias("proc"), F.col("c_mktsegment").alias("name"), F.lit(True).alias("is_public"), F.col("c_custkey").alias("value"))
+    own = d.select(F.col("n_regionkey").alias("module"), F.col("c_nationkey").alias("proc"), F.concat("c_mktsegment", (F.col("c_custkey") % F.lit(997)).cast("string")).alias("name"), F.lit(False).alias("is_public"), F.col("c_custkey").alias("value"))
+    shared = d.select(F.col("n_regionkey").alias("module"), F.lit(None).cast("int").alias("proc"), F.concat("c_mktsegment", (F.col("c_custkey") % F.lit(1009)).cast("string")).alias("name"), F.lit(True).alias("is_public"), F.col("c_custkey").alias("value"))
     out = facts.constant_of(reads, own.unionAll(shared))
     return out.select("read_id", F.coalesce("value", F.lit(-1)).alias("value"), "state")
 
 
 _CONSTANTS = """
-WITH d AS (SELECT c_custkey AS k, n_regionkey AS m, c_nationkey AS p, lower(c_mktsegment) AS name FROM customer JOIN nation ON c_nationkey = n_nationkey),
-pr AS (SELECT m, p, name, count(*) AS n, min(k) AS v FROM d WHERE k % 17 = 0 GROUP BY ALL), mo AS (SELECT m, name, count(*) AS n, min(k) AS v FROM d WHERE k <= 6 GROUP BY ALL), gl AS (SELECT name, count(*) AS n, min(k) AS v FROM d WHERE k <= 6 GROUP BY ALL),
+WITH d AS (SELECT c_custkey AS k, n_regionkey AS m, c_nationkey AS p, lower(c_mktsegment) AS s, s || (k % 1013) AS name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+pr AS (SELECT m, p, s || (k % 997) AS name, count(*) AS n, min(k) AS v FROM d GROUP BY ALL), mo AS (SELECT m, s || (k % 1009) AS name, count(*) AS n, min(k) AS v FROM d GROUP BY ALL), gl AS (SELECT s || (k % 1009) AS name, count(*) AS n, min(k) AS v FROM d GROUP BY ALL),
 j AS (SELECT d.k, pr.n AS pn, pr.v AS pv, mo.n AS mn, mo.v AS mv, gl.n AS gn, gl.v AS gv FROM d LEFT JOIN pr USING (m, p, name) LEFT JOIN mo USING (m, name) LEFT JOIN gl USING (name))
 SELECT k AS read_id, coalesce(CASE WHEN pn IS NOT NULL THEN CASE WHEN pn = 1 THEN pv END WHEN mn IS NOT NULL THEN CASE WHEN mn = 1 THEN mv END WHEN gn = 1 THEN gv END, -1) AS value,
  CASE WHEN pn = 1 THEN 'procedure' WHEN pn IS NULL AND mn = 1 THEN 'module' WHEN pn IS NULL AND mn IS NULL AND gn = 1 THEN 'public' ELSE 'unresolved' END AS state FROM j"""

@@ -178,21 +178,25 @@ _TRUNCATION = "SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (P
 
 
 def interprocedural_arguments(spark, sf_dir):
-    """Orders as calls and parts as parameters: arguments, unique parameters, reads and paths joined."""
+    """Line items as arguments of calls to parts, parts as parameters, suppliers as reads of all their parts.
+
+    A part is the callee, its size modulo 8 the parameter's position: each has one candidate, or none.
+    """
     o, li = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
-    args = li.where("l_linenumber <= 2").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("arg_id"), (F.col("l_suppkey") % 50).alias("callee"), F.col("l_linenumber").alias("ordinal"))
-    params = _table(spark, sf_dir, "part").where("p_partkey <= 120").select(F.col("p_partkey").alias("param_id"), (F.col("p_partkey") % 50).alias("callee"), (F.col("p_size") % 3).alias("ordinal"))
-    reads = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("read_id"), (F.col("s_suppkey") + 1).alias("param_id"))
-    caller = o.where("o_orderkey % 7 = 0").select((F.col("o_orderkey") * 10 + 1).alias("arg_id"), (F.col("o_custkey") % 5).alias("caller_path"))
+    args = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("arg_id"), F.col("l_partkey").alias("callee"), F.col("l_linenumber").alias("ordinal"))
+    params = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("param_id"), F.col("p_partkey").alias("callee"), (F.col("p_size") % 8).alias("ordinal"))
+    reads = li.select((F.col("l_suppkey") * 1000000000 + F.col("l_partkey")).alias("read_id"), F.col("l_partkey").alias("param_id")).distinct()
+    caller = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("arg_id"), (F.col("o_custkey") % 5).alias("caller_path"))
     callee = reads.select("read_id", (F.col("read_id") % 2).alias("callee_path"))
     return joins.argument_uses(args, params, reads, caller, callee).groupBy("read_id", "caller_path", "callee_path").agg(F.count("*").alias("n_arguments"))
 
 
 _ARGUMENTS = """
-WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS arg_id, l_suppkey % 50 AS callee, l_linenumber AS ordinal FROM lineitem WHERE l_linenumber <= 2),
-p AS (SELECT p_partkey AS param_id, p_partkey % 50 AS callee, p_size % 3 AS ordinal FROM part WHERE p_partkey <= 120),
+WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS arg_id, l_partkey AS callee, l_linenumber AS ordinal, o_custkey % 5 AS caller_path FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+p AS (SELECT p_partkey AS param_id, p_partkey AS callee, p_size % 8 AS ordinal FROM part),
 u AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY callee, ordinal) AS n FROM p) WHERE n = 1),
-x AS (SELECT DISTINCT a.arg_id, s_suppkey AS read_id, o_custkey % 5 AS caller_path, s_suppkey % 2 AS callee_path FROM a JOIN u USING (callee, ordinal) JOIN supplier ON s_suppkey + 1 = u.param_id JOIN orders ON o_orderkey % 7 = 0 AND o_orderkey * 10 + 1 = a.arg_id)
+r AS (SELECT DISTINCT l_suppkey * 1000000000 + l_partkey AS read_id, l_partkey AS param_id FROM lineitem),
+x AS (SELECT DISTINCT a.arg_id, read_id, caller_path, read_id % 2 AS callee_path FROM a JOIN u USING (callee, ordinal) JOIN r ON r.param_id = u.param_id)
 SELECT read_id, caller_path, callee_path, count(*)::BIGINT AS n_arguments FROM x GROUP BY ALL"""
 
 EDGES = ((0, 1, None, 0), (1, 2, "a", 0), (1, 3, "b", 1), (2, 4, None, 0), (3, 4, None, 0), (3, 1, "loop", 1), (4, 9, None, 0), (2, 7, "odd", 1))
@@ -284,13 +288,14 @@ _REDACT = "SELECT c_nationkey, 'module_' || dense_rank() OVER (PARTITION BY c_na
 
 
 def findings_markdown(spark, sf_dir):
-    """The worst events of each user as a Markdown table."""
-    e = _table(spark, sf_dir, "events").where("event_type = 'error' and value > 120")
-    rows = e.select("user_id", F.col("event_id").cast("string").alias("coordinate"), F.lit("DDE").alias("kind"), F.lit("High").alias("severity"), F.col("event_type").alias("description"))
+    """The events of each user as a Markdown table."""
+    e = _table(spark, sf_dir, "events")
+    severity = F.when(F.col("event_type") == "error", "High").otherwise("Low")
+    rows = e.select("user_id", F.col("event_id").cast("string").alias("coordinate"), F.lit("DDE").alias("kind"), severity.alias("severity"), F.col("event_type").alias("description"))
     return exports.markdown(rows, ["user_id"])
 
 
-_MARKDOWN = "SELECT user_id, '| Coordinate | Threat Kind | Severity | Description |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || event_id || ' | DDE | High | error |', chr(10) ORDER BY event_id::VARCHAR) || chr(10) AS markdown FROM events WHERE event_type = 'error' AND value > 120 GROUP BY 1"
+_MARKDOWN = "SELECT user_id, '| Coordinate | Threat Kind | Severity | Description |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || event_id || ' | DDE | ' || CASE event_type WHEN 'error' THEN 'High' ELSE 'Low' END || ' | ' || event_type || ' |', chr(10) ORDER BY event_id::VARCHAR) || chr(10) AS markdown FROM events GROUP BY 1"
 
 
 def sarif_json(spark, sf_dir):

@@ -142,15 +142,15 @@ SELECT c_custkey, round(trunc(x * 10) / 10, 6) + 0 AS trunc_, round(sign(x) * ce
 def xl_combinatorics(spark, sf_dir):
     """FACT, COMBIN, PERMUT, GCD, LCM and their kin over part sizes."""
     n, k = F.col("p_size"), F.col("p_partkey") % 7
-    g = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size <= 20").select("p_partkey", n.alias("n"), k.alias("k"))
+    g = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", n.alias("n"), k.alias("k"))
     n, k = F.col("n"), F.col("k")
     return g.select("p_partkey", X.fact(k).alias("fact_"), X.factdouble(n % 12).alias("fd_"), F.coalesce(X.combin(n, k), F.lit(-1.0)).alias("combin_"), F.coalesce(X.permut(n, k), F.lit(-1.0)).alias("permut_"), X.gcd(n * 6, k * 4).alias("gcd_"), X.lcm(n, k + 1).alias("lcm_"))
 
 
 _COMBIN = """
-WITH v AS (SELECT p_partkey, p_size::BIGINT AS n, p_partkey % 7 AS k FROM part WHERE p_size <= 20)
+WITH v AS (SELECT p_partkey, p_size::BIGINT AS n, p_partkey % 7 AS k FROM part)
 SELECT p_partkey, factorial(k::INT)::DOUBLE AS fact_, list_product(list_concat([1.0::DOUBLE], list_transform(range(CASE WHEN n % 12 % 2 = 0 THEN 2 ELSE 1 END, n % 12 + 1, 2), lambda i: i::DOUBLE))) AS fd_,
- CASE WHEN k <= n THEN factorial(n::INT) // (factorial(k::INT) * factorial(greatest(n - k, 0)::INT)) ELSE -1 END::DOUBLE AS combin_, CASE WHEN k <= n THEN factorial(n::INT) // factorial(greatest(n - k, 0)::INT) ELSE -1 END::DOUBLE AS permut_, gcd(n * 6, k * 4)::BIGINT AS gcd_, lcm(n, k + 1)::BIGINT AS lcm_ FROM v"""
+ CASE WHEN k <= n THEN list_product(list_concat([1::HUGEINT], list_transform(range(k), lambda i: (n - i)::HUGEINT)))::HUGEINT // factorial(k::INT) ELSE -1 END::DOUBLE AS combin_, CASE WHEN k <= n THEN list_product(list_concat([1::HUGEINT], list_transform(range(k), lambda i: (n - i)::HUGEINT))) ELSE -1 END::DOUBLE AS permut_, gcd(n * 6, k * 4)::BIGINT AS gcd_, lcm(n, k + 1)::BIGINT AS lcm_ FROM v"""
 
 
 def xl_arrays(spark, sf_dir):
@@ -191,14 +191,14 @@ SELECT o_orderkey, round((p - 1) / n + 3.1e-6::DOUBLE, 4) AS sln_, round((p - 1)
 def xl_statistics(spark, sf_dir):
     """Binomial, Poisson, normal, exponential and Weibull over quantities."""
     k = (F.col("l_quantity") % 10).cast("double")
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 1").select("l_orderkey", k.alias("k"))
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", k.alias("k"))
     k = F.col("k")
-    return li.select("l_orderkey", _r(X.binom_pmf(k, F.lit(10.0), F.lit(0.3)), 10).alias("binom_"), _r(X.poisson_pmf(k, F.lit(4.0)), 10).alias("poisson_"), _r(X.norm_pdf(k, F.lit(5.0), F.lit(2.0)), 10).alias("norm_"), _r(X.expon_cdf(k, F.lit(0.5)), 10).alias("expon_"), _r(X.weibull_cdf(k, F.lit(1.5), F.lit(3.0)), 10).alias("weibull_"), _r(X.standardize(k, F.lit(5.0), F.lit(2.0)), 10).alias("z_"))
+    return li.select("l_orderkey", "l_linenumber", _r(X.binom_pmf(k, F.lit(10.0), F.lit(0.3)), 10).alias("binom_"), _r(X.poisson_pmf(k, F.lit(4.0)), 10).alias("poisson_"), _r(X.norm_pdf(k, F.lit(5.0), F.lit(2.0)), 10).alias("norm_"), _r(X.expon_cdf(k, F.lit(0.5)), 10).alias("expon_"), _r(X.weibull_cdf(k, F.lit(1.5), F.lit(3.0)), 10).alias("weibull_"), _r(X.standardize(k, F.lit(5.0), F.lit(2.0)), 10).alias("z_"))
 
 
 _STATISTICS = """
-WITH v AS (SELECT l_orderkey, l_quantity % 10 AS k FROM lineitem WHERE l_linenumber = 1)
-SELECT l_orderkey, round((factorial(10) // (factorial(k::INT) * factorial((10 - k)::INT)))::DOUBLE * pow(0.3::DOUBLE, k) * pow(0.7::DOUBLE, 10 - k), 10) AS binom_, round(exp(-4) * pow(4, k) / factorial(k::INT)::DOUBLE, 10) AS poisson_, round(exp(-(k - 5) * (k - 5) / 8) / (2 * sqrt(2 * pi())), 10) AS norm_, round(1 - exp(-0.5::DOUBLE * k), 10) AS expon_, round(1 - exp(-pow(k / 3, 1.5::DOUBLE)), 10) AS weibull_, round((k - 5) / 2, 10) AS z_ FROM v"""
+WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity % 10 AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, round((factorial(10) // (factorial(k::INT) * factorial((10 - k)::INT)))::DOUBLE * pow(0.3::DOUBLE, k) * pow(0.7::DOUBLE, 10 - k), 10) AS binom_, round(exp(-4) * pow(4, k) / factorial(k::INT)::DOUBLE, 10) AS poisson_, round(exp(-(k - 5) * (k - 5) / 8) / (2 * sqrt(2 * pi())), 10) AS norm_, round(1 - exp(-0.5::DOUBLE * k), 10) AS expon_, round(1 - exp(-pow(k / 3, 1.5::DOUBLE)), 10) AS weibull_, round((k - 5) / 2, 10) AS z_ FROM v"""
 
 
 def crc32_fnv_fingerprint(spark, sf_dir):

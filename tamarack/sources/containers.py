@@ -17,7 +17,7 @@ MAX_INPUT, MAX_OUTPUT = 128 << 20, 64 << 20
 
 
 def _run(files: DataFrame, unpack, schema: str, rows: int = 16) -> DataFrame:
-    """Rows of unpack(path, content), which yields tuples; errors become a row with the last column set."""
+    """Rows of unpack(path, content), which yields tuples; errors become a row with the last column set, after the rows that came before."""
     names = [f.split()[0] for f in schema.split(", ")]
     width = len(names)
     arrow = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
@@ -32,7 +32,8 @@ def _run(files: DataFrame, unpack, schema: str, rows: int = 16) -> DataFrame:
                     try:
                         if content is None or len(content) > MAX_INPUT:
                             raise fmt.FormatError("no content" if content is None else "file is over the limit")
-                        out += [(path, *r, None) for r in unpack(content)]
+                        for r in unpack(content):
+                            out.append((path, *r, None))
                     except (fmt.FormatError, IndexError, ValueError, KeyError) as e:
                         out.append((path, *[None] * (width - 2), str(e) or type(e).__name__))
                 cols = list(zip(*out, strict=True)) or [()] * width

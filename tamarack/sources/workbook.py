@@ -122,8 +122,11 @@ def shared_strings(parts: DataFrame) -> DataFrame:
     return _each(parts, r"(^|/)sharedStrings\.xml$", lambda c: list(make(c)), "path string, ordinal long, text string, error string")
 
 
-def raw_cells(parts: DataFrame) -> DataFrame:
-    """(path, part, cell, row, col, type, value, formula, shared, error) of worksheets, at most MAX_CELLS of a part."""
+def raw_cells(parts: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
+    """(path, part, cell, row, col, type, value, formula, shared, error) of worksheets.
+
+    A part with over max_cells cells gives the first of them and a row with the error "cells truncated".
+    """
 
     def make(content):
         value = formula = shared = None
@@ -135,12 +138,14 @@ def raw_cells(parts: DataFrame) -> DataFrame:
                 formula, shared = text, a.get("si") if a.get("t") == "shared" else None
             elif name == "c":
                 ref = X.parse_reference(a.get("r", ""))
-                if ref and n < MAX_CELLS:
+                if ref:
+                    if n == max_cells:
+                        raise FormatError("cells truncated")
                     n += 1
                     yield a["r"], ref[1], ref[2], a.get("t", "n"), value, formula, shared
                 value = formula = shared = None
 
-    return _each(parts, r"worksheets/[^/]+\.xml$|macrosheets/[^/]+\.xml$", lambda c: list(make(c)), "path string, cell string, row long, col long, type string, value string, formula string, shared string, error string")
+    return _each(parts, r"worksheets/[^/]+\.xml$|macrosheets/[^/]+\.xml$", make, "path string, cell string, row long, col long, type string, value string, formula string, shared string, error string")
 
 
 def cells(parts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamarack.functions import excel, vba
-from tamarack.operators import exports, graphs, joins, rules, stomping, text
+from tamarack.operators import exports, facts, graphs, joins, rules, stomping, text
 from tamarack.operators import vba as parsed
 from tamarack.sources import containers, formats, workbook
 from tamarack.streaming import monitor
@@ -14,10 +14,10 @@ def rows(df):
 
 def test_containment_ties_and_buckets(spark):
     nodes = spark.createDataFrame([("p", 1, 0, 10), ("p", 2, 2, 8), ("p", 3, 2, 8), ("p", 4, 20, 30), ("q", 5, 0, 9)], "s string, node_id long, n_start long, n_end long")
-    facts = spark.createDataFrame([("p", 1, 3, 4), ("p", 2, 9, 10), ("p", 3, 22, 22), ("p", 4, 21, 29), ("q", 5, 1, 2), ("q", 6, 8, 12)], "s string, fact_id long, f_start long, f_end long")
+    told = spark.createDataFrame([("p", 1, 3, 4), ("p", 2, 9, 10), ("p", 3, 22, 22), ("p", 4, 21, 29), ("q", 5, 1, 2), ("q", 6, 8, 12)], "s string, fact_id long, f_start long, f_end long")
     want = [("p", 2, 1), ("p", 4, 4), ("q", 5, 5)]
-    assert rows(joins.containment(facts, nodes, ["s"])) == want
-    assert rows(joins.containment(facts, nodes, ["s"], bucket=10)) == want
+    assert rows(joins.containment(told, nodes, ["s"])) == want
+    assert rows(joins.containment(told, nodes, ["s"], bucket=10)) == want
 
 
 def test_reaching_definitions_at_one_position(spark):
@@ -127,3 +127,22 @@ def test_streaming_scan(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.key, r.score, r.severity, r.is_stomped) for r in spark.table("scores").collect()) == [("j", 5, "Low", False), ("k", 90, "Critical", True)]
+
+
+def test_every_rule_with_parts_has_a_scope_and_presence_counts(spark):
+    known = {n for n, _, _ in rules.SCOPES} | {n for n, _ in rules.PRESENT}
+    assert known == set(range(1, 95)) - {9}  # the ninth is that of formulas' values
+    assert {d for _, _, ds in rules.SCOPES for d in ds} <= set(rules.PRIMITIVES)
+    p = spark.createDataFrame([("xl/macrosheets/sheet1.xml", None), ("word/embeddings/ole.bin", ""), ("xl/dialogsheets/sheet1.xml", "<x:FmlaMacro>Run</x:FmlaMacro>"), (None, "cmd.exe")], "part string, content string")
+    got = {(r.part, r.rule_id, r.detector) for r in rules.scan_parts(p, ["part"]).collect()}
+    assert got == {("xl/macrosheets/sheet1.xml", "VBA-CELL-008", "present"), ("word/embeddings/ole.bin", "VBA-CELL-011", "present"), ("xl/dialogsheets/sheet1.xml", "VBA-CELL-027", "dialogMacro")}
+
+
+def test_cut_cells_and_states_are_marked(spark):
+    sheet = b'<worksheet xmlns="m"><sheetData><row r="1"><c r="A1"><v>1</v></c><c r="B1"><v>2</v></c><c r="C1"><v>3</v></c></row></sheetData></worksheet>'
+    parts = spark.createDataFrame([("w", "xl/worksheets/sheet1.xml", sheet)], "path string, name string, content binary")
+    assert [(r.cell, r.error) for r in workbook.raw_cells(parts, 2).collect()] == [("A1", None), ("B1", None), (None, "cells truncated")]
+    assert [(r.cell, r.error) for r in workbook.raw_cells(parts, 3).collect()] == [("A1", None), ("B1", None), ("C1", None)]
+    s = spark.createDataFrame([("M", "Sub A()\nx = 1\ny = 2\nEnd Sub\n")], "module string, source string")
+    assert "truncated" in {r.cond for r in facts.error_edges(s, max_states=1).collect()}
+    assert "truncated" not in {r.cond for r in facts.error_edges(s).collect()}
