@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import components, drop_table, parts, table, tidy
+from tamarack.llm.common import components, drop_table, parts, release, table, tidy
 
 #: Generator polynomial of the binary Golay code (x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1).
 GOLAY = 0b110001110101
@@ -230,9 +230,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 #: Width in words and least similarity of near-duplicate stages.
 WIDTH, LEAST = 5, 0.8
-#: 64-bit words of a fingerprint of theirs, and how many of them go with each anchor. Of pairs at the least
-#: similarity, whose differing bits are distributed about binomially, those over DEVIATIONS above the mean aren't compared.
-WORDS, SENT, DEVIATIONS = 8, 2, 3.5
+#: 64-bit words of a fingerprint of theirs. Of pairs at the least similarity, whose differing bits are
+#: distributed about binomially, those over DEVIATIONS above the mean aren't compared.
+WORDS, DEVIATIONS = 8, 3.5
 _TIMES = np.random.default_rng(42).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Two orders of the bits; either is cut into blocks.
 _BLOCKS = 64 * WORDS // BLOCK
@@ -294,13 +294,13 @@ def _printed(width: int):
             sets = (shingles(t, width) for t in b.column(1).to_pylist())
             rows = [(_node(s), len(s), wide_fingerprint(s)) for s in sets]
             nodes, sizes, fp = zip(*rows, strict=True) if rows else ((), (), np.zeros((0, WORDS), np.int64))
-            yield pa.record_batch([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, np.array(fp).T)], ["doc_id", "node", "size", *_FP])
+            yield pa.record_batch([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *map(pa.array, np.array(fp).T)], ["doc_id", "node", "size", *_FP])
 
     return run
 
 
 _FP = [f"f{k}" for k in range(WORDS)]
-_ENTRY = ["key", "node", "label", "size", *_FP[:SENT]]
+_ENTRY = ["key", "node", "label", "size", *_FP]
 
 
 def _homed(batches):
@@ -312,8 +312,8 @@ def _homed(batches):
             node, label, size, *fp = (c.to_numpy(zero_copy_only=False) for c in b.slice(at, 2048).columns)
             has = size > 0
             keys = homes(np.stack(fp, 1)[has], lead)
-            again = [np.repeat(x[has], keys.shape[1]) for x in (node, label, size, *fp[:SENT])]
-            yield pa.record_batch([pa.array(keys.ravel()), *map(pa.array, again)], _ENTRY)
+            again = [np.repeat(x[has], keys.shape[1]) for x in (node, label, size, *fp)]
+            yield pa.record_batch([pa.array(keys.ravel().astype(np.int32)), *map(pa.array, again)], _ENTRY)
 
 
 def _whole_keys(run):
@@ -337,27 +337,37 @@ def _whole_keys(run):
     return wrapped
 
 
-def _near_pairs(i, j, node, label, size, fp, least: float):
-    """Of the pairs of entries (i, j): those of other labels whose sizes and bits allow a similarity of `least`."""
+def _near_pairs(i, j, key, node, label, size, fp, least: float, lead):
+    """Of the pairs of entries (i, j): those of other labels whose sizes and bits allow a similarity of `least`.
+
+    A pair that shares several anchors is given at the first of them only.
+    """
     ok = label[i] != label[j]
     ok &= np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9
-    i, j = i[ok], j[ok]
-    d = sum(np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).astype(np.int64) for f in fp)
-    ok = d <= most_bits(64 * len(fp), least)
-    a, b = node[i[ok]], node[j[ok]]
-    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d[ok])], ["u", "v", "d"])
-
-
-def _chain(least: float):
-    """Near pairs of neighbours among each anchor's entries, in order of their bits."""
-
-    def run(key, node, label, size, *fp):
-        order = np.lexsort((fp[0], key))
-        key, node, label, size, *fp = (c[order] for c in (key, node, label, size, *fp))
-        i = np.flatnonzero(key[1:] == key[:-1])
-        yield _near_pairs(i, i + 1, node, label, size, fp, least)
-
-    return run
+    i, j, d = i[ok], j[ok], 0
+    for lo, hi in ((0, 2), (2, WORDS)):
+        d = d + sum(np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).astype(np.int64) for f in fp[lo:hi])
+        ok = d <= most_bits(64 * hi, least)
+        i, j, d = i[ok], j[ok], d[ok]
+    used, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+    if len(used):
+        own = homes(np.stack([f[used] for f in fp], 1), lead)
+        ok = (own[at[: len(i)]] == own[at[len(i) :]]).argmax(1) == key[i] >> BLOCK
+        i, j, d = i[ok], j[ok], d[ok]
+    a, b = node[i], node[j]
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], ["u", "v", "d"])
+
+
+def _nearest(parts):
+    """Of near pairs, that with the least distance for each u and each v."""
+    u, v, d = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in range(3))
+    tie = (u ^ v).view(np.uint64) * _TIMES[0]
+    kept = []
+    for end in (u, v):
+        order = np.lexsort((tie, d, end))
+        kept.append(order[np.append(True, np.diff(end[order]) != 0)] if len(order) else order)
+    at = np.unique(np.concatenate(kept))
+    return pa.record_batch([pa.array(c[at]) for c in (u, v, d)], ["u", "v", "d"])
 
 
 def _ranges(i, lo, hi):
@@ -379,6 +389,9 @@ def _apart(least: float):
     only. The others are sorted by label; each entry meets those behind its label's block.
     """
 
+    e, _, starts = _patterns()
+    lead = e[starts[:-1]]
+
     def run(key, node, label, size, *fp):
         order = np.lexsort((label, key))
         key, node, label, size, *fp = (c[order] for c in (key, node, label, size, *fp))
@@ -397,13 +410,26 @@ def _apart(least: float):
         at = np.cumsum(~many)
         low = np.where(many, low, at)
         for x, y in _ranges(i, low, high):
-            yield _near_pairs(x, single[y], node, label, size, fp, least)
+            yield _near_pairs(x, single[y], key, node, label, size, fp, least, lead)
         block_end = np.flatnonzero(np.append((key[1:] != key[:-1]) | (label[1:] != label[:-1]) | ~many[1:], True)) + 1
         many_end = np.flatnonzero(np.append((key[1:] != key[:-1]) | (many[1:] != many[:-1]), True)) + 1
         start = block_end[np.searchsorted(block_end, i, "right")]
         end = many_end[np.searchsorted(many_end, i, "right")]
         for x, y in _ranges(i[many], start[many], end[many]):
-            yield _near_pairs(x, y, node, label, size, fp, least)
+            yield _near_pairs(x, y, key, node, label, size, fp, least, lead)
+
+    return run
+
+
+def _closest(least: float):
+    """Of the pairs that _apart makes, the nearest of each entry."""
+
+    def run(*entries):
+        kept = None
+        for found in _apart(least)(*entries):
+            kept = _nearest([found] if kept is None else [kept, found])
+        if kept is not None:
+            yield kept
 
     return run
 
@@ -432,9 +458,10 @@ def similar_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST
 
     Texts link if the Jaccard similarity of their sets of `width`-word shingles is at least `least` and
     their fingerprints share an anchor; component_id is the least doc_id reachable. Texts with equal sets
-    are one node: copies are never paired. First a few near neighbours of each node are compared; of the
-    other pairs that meet, only those not connected by then, but all of them. So a large group of near
-    copies costs a multiple of its size, not its square.
+    are one node: copies are never paired. First the nearest neighbours of each node are compared;
+    of the other pairs that meet, only those not connected by then, but all of them. So a large
+    group of near copies costs a multiple of its size; what grows with a square are texts that are nearly
+    as alike as that without being so.
     Null and wordless texts have an empty set and link with each other only. Rows that repeat are rows of
     their own. Rows with a null doc_id link too; a component with null ids only has a null component_id.
     An empty table gives an empty table.
@@ -442,20 +469,16 @@ def similar_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     fields = ", ".join(f"{f} long" for f in _FP)
-    prints = table(texts.mapInArrow(tidy(_printed(width), 1000), f"doc_id long, node long, size long, {fields}"), "sim")
+    prints = table(texts.mapInArrow(tidy(_printed(width), 1000), f"doc_id long, node long, size int, {fields}"), "sim")
     classes = table(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("size", *_FP))), "simc")
-    entry = f"key long, node long, label long, size long, {', '.join(f'{f} long' for f in _FP[:SENT])}"
+    entry = f"key int, node long, label long, size int, {fields}"
 
     def met(labelled, run):
         e = labelled.select("node", "label", "size", *_FP).mapInArrow(tidy(_homed), entry)
         return e.repartition(parts(spark), "key").sortWithinPartitions("key").mapInArrow(tidy(_whole_keys(run)), "u long, v long, d long")
 
     def verified(p):
-        def side(k):
-            return classes.select(F.col("node").alias(k), *(F.col(f).alias(k + f) for f in _FP))
-
-        apart = sum((F.bit_count(F.col("u" + f).bitwiseXOR(F.col("v" + f))) for f in _FP), F.lit(0))
-        p = table(p.join(side("u"), "u").join(side("v"), "v").where(apart <= most_bits(64 * WORDS, least)).select("u", "v"), "simp")
+        p = table(p, "simp")
         wanted = table(p.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes.select("node", "rep"), "node"), "simw")
         ids = wanted.select(F.col("rep").alias("__id")).distinct()
         sets = texts.join(ids, texts["doc_id"].eqNullSafe(F.col("__id")), "left_semi").select("text").mapInArrow(tidy(_sets(width), 500), "node long, s binary")
@@ -466,21 +489,19 @@ def similar_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST
             drop_table(spent)
         return found
 
-    # Of each node's neighbours: the nearest, and two by hashes, so that a group of near copies hangs together.
-    pairs = met(classes.withColumn("label", F.col("node")), _chain(least))
+    # Of the nearest at each anchor: the nearest of all, and two by hashes, so that a group of near copies hangs together.
+    pairs = met(classes.withColumn("label", F.col("node")), _closest(least))
     ends = pairs.select("d", F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("o")), F.struct(F.col("v").alias("n"), F.col("u").alias("o")))).alias("x")).select("d", "x.*")
     few = ends.groupBy("n").agg(F.array(*(F.min(F.struct(by.cast("long").alias("by"), "o")) for by in (F.col("d"), F.xxhash64("n", "o"), F.xxhash64("o", "n", F.lit(1))))).alias("few"))
-    first = few.select("n", F.explode("few.o").alias("o")).select(F.least("n", "o").alias("u"), F.greatest("n", "o").alias("v")).distinct()
-    links = verified(first)
+    links = verified(few.select("n", F.explode("few.o").alias("o")).select(F.least("n", "o").alias("u"), F.greatest("n", "o").alias("v")).distinct())
+    release(spark)
+    labelled = classes.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node"))
+    links = links.unionAll(verified(met(labelled, _apart(least)).select("u", "v")))
     found = components(links)
-    labelled = classes.join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    more = verified(met(labelled, _apart(least)).select("u", "v").distinct())
-    found = components(links.unionAll(more))
     named = table(classes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("label")), "simn")
     least_id = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(least_id, "label").select(F.col("node").alias("at"), "component_id")
-    for spent in (classes, links, more):
-        drop_table(spent)
+    drop_table(classes)
     return prints.join(named, F.col("node") == F.col("at")).select("doc_id", "node", "component_id")
 
 

@@ -516,7 +516,7 @@ def test_similar_duplicates_match_brute_force(spark, monkeypatch, corpus, few):
     for k in range(12):
         base = prose(rng, rng.randint(40, 200), [f"v{j}" for j in range(500)])
         rows += [(1000 + 100 * k + j, t, "en", "a", 0) for j, t in enumerate(near_copies(rng, base, 15, 6))]
-    d = docs_of(spark, rows).selectExpr("*", "1 AS node", "2 AS rep", "3 AS label", "4 AS f0", "5 AS d")
+    d = docs_of(spark, rows).selectExpr("*", "1 AS node", "2 AS rep", "3 AS label", "4 AS f0", "5 AS d", "6 AS size")
     assert Counter((r.doc_id, r.component_id) for r in simhash.similar_duplicates(d).collect()) == brute_near(rows)
     kept = simhash.one_of_each(docs_of(spark, rows), simhash.similar_duplicates)
     assert kept.columns == docs_of(spark, []).columns
@@ -529,8 +529,11 @@ def test_pairs_apart_are_all_pairs_with_other_labels_and_fitting_sizes(monkeypat
     monkeypatch.setattr(simhash, "PAIRS", pairs)
     rng = np.random.default_rng(1)
     n = 300
-    key, node, label, size = np.sort(rng.integers(0, 9, n)), rng.permutation(n), rng.integers(0, 60, n), rng.integers(5, 30, n)
-    fp = [np.zeros(n, np.int64)] * 2
+    key, node, label, size = np.zeros(n, int), rng.permutation(n), rng.integers(0, 60, n), rng.integers(5, 30, n)
+    fp = [np.zeros(n, np.int64)] * simhash.WORDS
+    monkeypatch.setattr(simhash, "homes", lambda f, lead: np.repeat(np.arange(9)[None], len(f), 0))  # none shares an earlier anchor
+    monkeypatch.setattr(simhash, "BLOCK", 0)
+    monkeypatch.setattr(simhash, "_patterns", lambda: (np.zeros(2), 0, np.arange(2)))
     want = {(min(node[a], node[b]), max(node[a], node[b])) for a in range(n) for b in range(a) if key[a] == key[b] and label[a] != label[b] and min(size[a], size[b]) >= 0.8 * max(size[a], size[b])}
     got = [(u, v) for b in simhash._apart(0.8)(key, node, label, size, *fp) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)]
     assert len(got) == len(set(got)) and set(got) == want
