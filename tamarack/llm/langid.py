@@ -26,6 +26,8 @@ from tamarack.llm.common import tidy
 #: Documents of each language that the model is fitted on at most, in order of a hash of their doc_id; words
 #: taken of each of them at most; times that a word must occur in all; longest n-gram; words kept by a task.
 MAX_TRAIN_DOCS, MAX_TRAIN_WORDS, LEAST, MAX_GRAM, KEPT = 400, 2000, 2, 4, 500_000
+#: Tasks a language, from step to step, among which the choice of these documents is spread.
+SPREADS = (512, 8, 1)
 #: Logarithm by which each step of backing off to a shorter n-gram lowers a score.
 BACKOFF = math.log(0.4)
 
@@ -130,30 +132,38 @@ def held_out(doc_id, parts: int = 4, left: int = 2):
 def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model | None:
     """Fit on docs (doc_id, text, lang): of each language at most max_docs with a text and lang that aren't null.
 
-    A bounded sample, in order of a hash of doc_id: of each document MAX_TRAIN_WORDS words at most, spread
+    A bounded sample, in order of a hash of doc_id, rows that repeat counting once: of each document MAX_TRAIN_WORDS words at most, spread
     over the whole text. Languages come from the data; the sample has max_docs rows of each of them.
     """
     usable = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     # Each task passes on the least max_docs keys of a language.
     ids = usable.select("lang", "doc_id").mapInArrow(_least(max_docs), "lang string, h long, doc_id long")
-    ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= max_docs).select("lang", "doc_id").distinct()
+    # Ever fewer tasks a language take the least of the tasks before: none reads more than its share of what those pass on.
+    for spread in SPREADS:
+        least = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(spread))).orderBy("h", "doc_id")
+        ids = ids.distinct().withColumn("r", F.row_number().over(least)).where(F.col("r") <= max_docs).drop("r")
+    ids = ids.select("lang", "doc_id")
     ids = ids.withColumnsRenamed({"lang": "picked_lang", "doc_id": "picked"})
-    j = usable.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("picked")) & (F.col("lang") == F.col("picked_lang"))).select("lang", "text")
-    got = j.mapInArrow(_spread, "lang string, text string").toArrow()
+    j = usable.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("picked")) & (F.col("lang") == F.col("picked_lang"))).select("lang", "text", "doc_id")
+    got = j.mapInArrow(_spread, "lang string, text string, doc_id long").groupBy("lang", "doc_id").agg(F.min("text").alias("text")).toArrow()
     return fit(sorted(zip(got["lang"].to_pylist(), got["text"].to_pylist(), strict=True)))
 
 
 def _least(n: int):
     def run(batches):
         held: dict[str, list] = {}
+        inside = set()
         for b in batches:
             for lang, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = xxhash.xxh3_64_intdigest(str(d).encode()) >> 1
-                heap = held.setdefault(lang, [])
+                heap, x = held.setdefault(lang, []), (-h, -1 if d is None else d, d)
+                if (lang, x) in inside or len(heap) == n and -h <= heap[0][0]:
+                    continue
+                inside.add((lang, x))
                 if len(heap) < n:
-                    heapq.heappush(heap, (-h, -1 if d is None else d, d))
-                elif -h > heap[0][0]:
-                    heapq.heapreplace(heap, (-h, -1 if d is None else d, d))
+                    heapq.heappush(heap, x)
+                else:
+                    inside.discard((lang, heapq.heapreplace(heap, x)))
         rows = [(lang, -h, d) for lang, heap in held.items() for h, _, d in heap]
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "h", "doc_id"])
 
@@ -166,7 +176,7 @@ def _spread(batches):
         for t in b.column(1).to_pylist():
             w = t.split()
             texts.append(" ".join(w[:: -(-len(w) // MAX_TRAIN_WORDS)] if w else w))
-        yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], ["lang", "text"])
+        yield pa.record_batch([b.column(0), pa.array(texts, pa.string()), b.column(2)], ["lang", "text", "doc_id"])
 
 
 @functools.lru_cache(maxsize=2)

@@ -373,6 +373,18 @@ def test_language_identification(spark):
     assert {k for k, r in got.items() if r.held_out} == {k for k in got if zlib.crc32(str(k).encode()) % 4 == 2}
 
 
+def test_language_training_takes_the_least_hashes_and_repeats_once(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(k, prose(rng, 9), ("en", "fr")[k % 2], "a", 0) for k in range(300)]
+    want = {(lang, t) for lang in ("en", "fr") for _, t in sorted((xxhash.xxh3_64_intdigest(str(k).encode()) >> 1, t) for k, t, x, _, _ in rows if x == lang)[:20]}
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda texts: seen.append(texts))
+    langid.train(docs_of(spark, [*rows, *[rows[7]] * 90, (None, "null id", "en", "a", 0)]).repartition(5), 20)
+    got = Counter(seen[0])
+    assert len(got) == 40 and set(got.values()) == {1}
+    assert len(set(got) - want) <= 1  # the row without an id may be among them
+
+
 def test_language_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langid.train(none) is None
