@@ -3,39 +3,83 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
+from itertools import islice
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-
-def paths(edges: DataFrame, entry: int, exit: int, max_depth: int = 128, limit: int = 256) -> DataFrame:
-    """Paths from entry: (path_no, nodes, conditions, stop_reason, truncated), the first `limit` in depth-first order.
-
-    edges: (src, dst, cond or null, ord). A path ends at the exit, at a node that it has visited
-    (cycle_pruned), at a node without edges (dead_end) or with max_depth nodes (depth_limit), tested in the
-    order exit, depth. It is complete only where it ends at the exit.
+from pyspark.sql import types as T
+
+
+def _walk(after: dict, entry: int, exit: int, max_depth: int):
+    """(nodes, conditions, stop reason) of each path from entry, in depth-first order; after: edges (dst, cond) by node."""
+    nodes, conds, todo = [], [], [(entry, None, 0)]
+    while todo:
+        node, cond, depth = todo.pop()
+        del nodes[depth:], conds[depth:]
+        again = node in nodes
+        nodes.append(node)
+        conds.append(cond)
+        out = after.get(node)
+        if again:
+            stop = "cycle_pruned"
+        elif node == exit:
+            stop = "exit"
+        elif len(nodes) >= max_depth:
+            stop = "depth_limit"
+        else:
+            stop = None if out else "dead_end"
+        if stop:
+            yield list(nodes), [c for c in conds if c is not None], stop
+        else:
+            todo.extend((dst, c, len(nodes)) for dst, c in reversed(out))
+
+
+def paths(edges: DataFrame, roots: DataFrame, graph: list[str], max_depth: int = 128, limit: int = 256) -> DataFrame:
+    """Paths of each graph from its entry: (graph, path_no, nodes, conditions, stop_reason, truncated).
+
+    edges: (graph, src, dst, cond or null, ord), parallel ones each for itself; roots: (graph, entry, exit), one
+    row a graph. A path ends at a node that it has visited (cycle_pruned), at the exit, with max_depth nodes
+    (depth_limit) or at a node without edges (dead_end), tested in that order; it is complete only where it ends at
+    the exit. The first `limit` in depth-first order are given; truncated, of a whole graph, is whether there
+    are more or a path was cut at a cycle or by its depth. No more than limit + 1 paths are ever made. The edges of
+    one graph, a procedure, are one row; graphs spread over tasks. A graph of roots without edges has the path of
+    its entry alone; edges of graphs that roots doesn't name are ignored, as are null ends.
     """
-    spark = edges.sparkSession
-    name = f"edges_{uuid.uuid4().hex}"
-    edges.select("src", "dst", "cond", "ord").createOrReplaceTempView(name)
-    out = spark.sql(f"""
-WITH RECURSIVE outdeg AS (SELECT src, count(*) AS n FROM {name} GROUP BY src),
-e AS (SELECT e.*, coalesce(o.n, 0) AS dst_out FROM {name} e LEFT JOIN outdeg o ON o.src = e.dst),
-p(cur, nodes, conds, ords, stop) MAX RECURSION LEVEL {max_depth + 2} AS (
-  SELECT cast({entry} AS bigint), array(cast({entry} AS bigint)), cast(array() AS array<string>), cast(array() AS array<bigint>),
-         CASE WHEN {entry} = {exit} THEN 'exit' END
-  UNION ALL
-  SELECT cast(e.dst AS bigint), concat(p.nodes, array(cast(e.dst AS bigint))),
-         CASE WHEN e.cond IS NULL THEN p.conds ELSE concat(p.conds, array(e.cond)) END, concat(p.ords, array(cast(e.ord AS bigint))),
-         CASE WHEN array_contains(p.nodes, cast(e.dst AS bigint)) THEN 'cycle_pruned' WHEN e.dst = {exit} THEN 'exit'
-              WHEN size(p.nodes) + 1 >= {max_depth} THEN 'depth_limit' WHEN e.dst_out = 0 THEN 'dead_end' END
-  FROM p JOIN e ON e.src = p.cur WHERE p.stop IS NULL)
-SELECT nodes, conds, ords, stop FROM p WHERE stop IS NOT NULL""")
-    w = Window.orderBy("ords")
-    ranked = out.withColumn("path_no", F.row_number().over(w).cast("long")).withColumn("cut", F.count("*").over(Window.partitionBy()) > limit)
-    loops = F.bool_or(F.col("stop") != "exit").over(Window.partitionBy())
-    return ranked.withColumn("truncated", F.col("cut") | loops).where(F.col("path_no") <= limit).select("path_no", "nodes", F.col("conds").alias("conditions"), F.col("stop").alias("stop_reason"), "truncated")
+    ends = edges.where("src is not null and dst is not null")
+    lists = ends.groupBy(*graph).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("src", "ord", "dst")], "cond"))).alias("edges")).select(*graph, F.col("edges.src").alias("src"), F.col("edges.dst").alias("dst"), F.col("edges.cond").alias("cond"))
+    starts = roots.select(*graph, F.col("entry").cast("long").alias("entry"), F.col("exit").cast("long").alias("exit"))
+    rows = starts.join(lists, graph, "left") if graph else starts.join(lists)
+    found = [("path_no", T.LongType()), ("nodes", T.ArrayType(T.LongType())), ("conditions", T.ArrayType(T.StringType())), ("stop_reason", T.StringType()), ("truncated", T.BooleanType())]
+    schema = T.StructType([rows.schema[k] for k in graph] + [T.StructField(n, t) for n, t in found])
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.string(), pa.bool_()]
+    k = len(graph)
+
+    def run(batches):
+        for b in batches:
+            at, out = [], []
+
+            def flush():
+                keys = [b.column(i).take(pa.array(at, pa.int64())) for i in range(k)]
+                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+                return pa.RecordBatch.from_arrays(keys + cols, names=[f.name for f in schema])
+
+            for row in range(b.num_rows):
+                entry, exit, src, dst, cond = (b.column(i)[row].as_py() for i in range(k, k + 5))
+                after: dict = {}
+                for s, d, c in zip(src or (), dst or (), cond or (), strict=True):
+                    after.setdefault(s, []).append((d, c))
+                every = list(islice(_walk(after, entry, exit, max_depth), limit + 1))
+                cut = len(every) > limit or any(stop in ("cycle_pruned", "depth_limit") for _, _, stop in every)
+                out += [(n, nodes, conds, stop, cut) for n, (nodes, conds, stop) in enumerate(every[:limit], 1)]
+                at += [row] * min(len(every), limit)
+                if len(out) >= 8192:
+                    yield flush()
+                    at, out = [], []
+            if out:
+                yield flush()
+
+    return rows.mapInArrow(run, schema)
 
 
 def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -83,11 +127,13 @@ def chains(edges: DataFrame, max_hops: int = 4) -> DataFrame:
 STRUCTURAL = ("entry", "exit", "decision", "branch", "implicit_else", "select_expression", "case_test", "case", "no_case_match", "loop_test", "loop_body", "loop_exit")
 
 
-def decision_rows(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(path_no, conditions, actions): of each path the labels of its action nodes in order; nodes (node_id, kind, label)."""
-    steps = found.select("path_no", F.posexplode("nodes").alias("pos", "node_id")).join(nodes.where(~F.col("kind").isin(list(STRUCTURAL))), "node_id")
-    acts = steps.groupBy("path_no").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("x")).select("path_no", F.col("x.label").alias("actions"))
-    return found.join(acts, "path_no", "left").select("path_no", "conditions", F.coalesce("actions", F.array().cast("array<string>")).alias("actions"))
+def decision_rows(found: DataFrame, nodes: DataFrame, graph: list[str]) -> DataFrame:
+    """(graph, path_no, conditions, actions): of each path the labels of its action nodes in order; nodes (graph, node_id, kind, label)."""
+    path = [*graph, "path_no"]
+    acting = nodes.where(~F.col("kind").isin(list(STRUCTURAL))).select(*graph, "node_id", "label")
+    steps = found.select(*path, F.posexplode("nodes").alias("pos", "node_id")).join(acting, [*graph, "node_id"])
+    acts = steps.groupBy(*path).agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("x")).select(*path, F.col("x.label").alias("actions"))
+    return found.join(acts, path, "left").select(*path, "conditions", F.coalesce("actions", F.array().cast("array<string>")).alias("actions"))
 
 
 def dot(nodes: DataFrame, edges: DataFrame, graph: list[str]) -> DataFrame:

@@ -134,11 +134,13 @@ def vba_graphs(spark, sf_dir):
 
 
 def vba_paths(spark, sf_dir):
-    """Paths through the module's first procedure by how they stop."""
+    """Paths through the module's procedures by how they stop."""
     s = _sources(spark)
-    e = vba.graph_edges(s).where("module = 'M' and proc = 0").select("src", "dst", "cond", "ord")
-    last = vba.graph_nodes(s).where("module = 'M' and proc = 0 and kind = 'exit'").first()["node_id"]
-    return graphs.paths(e, 0, last).groupBy("stop_reason").agg(F.count("*").alias("n_paths"), F.max(F.size("nodes")).cast("long").alias("longest"))
+    key = ["module", "proc"]
+    n = vba.graph_nodes(s)
+    roots = n.groupBy(*key).agg(F.min(F.when(F.col("kind") == "entry", F.col("node_id"))).alias("entry"), F.max(F.when(F.col("kind") == "exit", F.col("node_id"))).alias("exit"))
+    found = graphs.paths(vba.graph_edges(s).select(*key, "src", "dst", "cond", "ord"), roots, key)
+    return found.groupBy("proc", "stop_reason").agg(F.count("*").alias("n_paths"), F.max(F.size("nodes")).cast("long").alias("longest"))
 
 
 def vba_call_edges(spark, sf_dir):

@@ -203,38 +203,75 @@ EDGES = ((0, 1, None, 0), (1, 2, "a", 0), (1, 3, "b", 1), (2, 4, None, 0), (3, 4
 NODES = ((0, "entry", "entry"), (1, "decision", "If"), (2, "call", "DoA"), (3, "assignment", "x = 1"), (4, "call", "Done"), (9, "exit", "exit"), (7, "call", "Halt"))
 
 
-def _edges(spark):
-    return spark.createDataFrame(list(EDGES), "src long, dst long, cond string, ord long")
+def _order_graphs(spark, sf_dir):
+    """Orders as procedures: (nodes, edges) with the order as g.
+
+    A line leads to the next one; a returned line may also skip one, an open one go back to the first, and a line of
+    49 pieces or more halts. Node 0 is the entry, 99 the exit.
+    """
+    li = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("g"), F.col("l_linenumber").cast("long").alias("node"))
+    w = Window.partitionBy("g")
+    n = li.agg(F.max(F.col("l_returnflag") == "R").alias("returned"), F.min(F.col("l_linestatus") == "O").alias("open"), F.max(F.col("l_quantity") >= 49).alias("halts"))
+    after = lambda k: F.coalesce(F.lead("node", k).over(w.orderBy("node")), F.lit(99)).cast("long")
+    n = n.withColumn("next", after(1)).withColumn("skip", after(2)).withColumn("first", F.min("node").over(w))
+    edge = lambda src, dst, cond, ord: F.struct(src.cast("long").alias("src"), dst.cast("long").alias("dst"), cond.cast("string").alias("cond"), F.lit(ord).cast("long").alias("ord"))
+    node, live = F.col("node"), ~F.col("halts")
+    some = F.array(
+        F.when(node == F.col("first"), edge(F.lit(0), node, F.lit(None), 0)),
+        F.when(live, edge(node, F.col("next"), F.when(F.col("returned"), "kept"), 0)),
+        F.when(live & F.col("returned"), edge(node, F.col("skip"), F.lit("returned"), 1)),
+        F.when(live & F.col("open"), edge(node, F.col("first"), F.lit("again"), 2)),
+    )
+    edges = n.select("g", F.explode(F.filter(some, lambda x: x.isNotNull())).alias("e")).select("g", "e.*")
+    label = F.when(F.col("halts"), F.concat(F.lit("Halt "), "node")).otherwise(F.concat(F.lit("Line "), "node"))
+    ends = n.select("g").distinct().select("g", F.explode(F.array(F.lit(0).cast("long"), F.lit(99).cast("long"))).alias("node_id"))
+    ends = ends.withColumn("kind", F.when(F.col("node_id") == 0, "entry").otherwise("exit")).withColumn("label", F.col("kind"))
+    return n.select("g", node.alias("node_id"), F.when(F.col("returned"), "decision").otherwise("call").alias("kind"), label.alias("label")).unionAll(ends), edges
 
 
+_ORDER_GRAPHS = """
+l AS (SELECT l_orderkey AS g, l_linenumber::BIGINT AS node, bool_or(l_returnflag = 'R') AS returned, bool_and(l_linestatus = 'O') AS open, bool_or(l_quantity >= 49) AS halts FROM lineitem GROUP BY 1, 2),
+v AS (SELECT *, coalesce(lead(node, 1) OVER w, 99) AS nx, coalesce(lead(node, 2) OVER w, 99) AS sk, min(node) OVER (PARTITION BY g) AS fi FROM l WINDOW w AS (PARTITION BY g ORDER BY node)),
+e AS (SELECT g, 0::BIGINT AS src, node AS dst, NULL::VARCHAR AS cond, 0 AS ord FROM v WHERE node = fi UNION ALL SELECT g, node, nx, CASE WHEN returned THEN 'kept' END, 0 FROM v WHERE NOT halts
+ UNION ALL SELECT g, node, sk, 'returned', 1 FROM v WHERE returned AND NOT halts UNION ALL SELECT g, node, fi, 'again', 2 FROM v WHERE open AND NOT halts),
+n AS (SELECT g, node AS id, CASE WHEN returned THEN 'decision' ELSE 'call' END AS kind, CASE WHEN halts THEN 'Halt ' ELSE 'Line ' END || node AS label FROM l
+ UNION ALL SELECT DISTINCT g, 0::BIGINT, 'entry', 'entry' FROM l UNION ALL SELECT DISTINCT g, 99::BIGINT, 'exit', 'exit' FROM l)"""
+
 _PATHS = f"""
-WITH RECURSIVE e(src, dst, cond, ord) AS (VALUES {", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in EDGES)}),
-x AS (SELECT e.*, (SELECT count(*) FROM e o WHERE o.src = e.dst) AS outs FROM e),
-p AS (SELECT 0 AS cur, [0] AS nodes, []::VARCHAR[] AS conds, []::INT[] AS ords, NULL::VARCHAR AS stop
- UNION ALL SELECT x.dst, list_append(nodes, x.dst), CASE WHEN cond IS NULL THEN conds ELSE list_append(conds, cond) END, list_append(ords, x.ord),
-  CASE WHEN list_contains(nodes, x.dst) THEN 'cycle_pruned' WHEN x.dst = 9 THEN 'exit' WHEN x.outs = 0 THEN 'dead_end' END FROM p JOIN x ON x.src = p.cur WHERE p.stop IS NULL),
-r AS (SELECT row_number() OVER (ORDER BY ords) AS path_no, nodes, conds, stop FROM p WHERE stop IS NOT NULL)
+WITH RECURSIVE {_ORDER_GRAPHS},
+o AS (SELECT g, src, count(*) AS outs FROM e GROUP BY 1, 2), x AS (SELECT e.*, o.outs FROM e LEFT JOIN o ON o.g = e.g AND o.src = e.dst),
+p AS (SELECT DISTINCT g, 0::BIGINT AS cur, [0::BIGINT] AS nodes, []::VARCHAR[] AS conds, []::INT[] AS ords, NULL::VARCHAR AS stop FROM l
+ UNION ALL SELECT p.g, x.dst, list_append(nodes, x.dst), CASE WHEN cond IS NULL THEN conds ELSE list_append(conds, cond) END, list_append(ords, x.ord),
+  CASE WHEN list_contains(nodes, x.dst) THEN 'cycle_pruned' WHEN x.dst = 99 THEN 'exit' WHEN x.outs IS NULL THEN 'dead_end' END FROM p JOIN x ON x.g = p.g AND x.src = p.cur WHERE p.stop IS NULL),
+r AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY ords) AS path_no, nodes, conds, stop, bool_or(stop = 'cycle_pruned') OVER (PARTITION BY g) AS truncated FROM p WHERE stop IS NOT NULL)
 """
 
 
+def _order_paths(spark, sf_dir):
+    nodes, edges = _order_graphs(spark, sf_dir)
+    roots = nodes.select("g").distinct().select("g", F.lit(0).alias("entry"), F.lit(99).alias("exit"))
+    return nodes, graphs.paths(edges, roots, ["g"])
+
+
 def path_enumeration(spark, sf_dir):
-    """Paths of a graph with a cycle and a dead end, in depth-first order."""
-    out = graphs.paths(_edges(spark), 0, 9)
-    return out.select("path_no", F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), F.array_join("conditions", "&").alias("conditions"), "stop_reason", "truncated")
+    """Paths through every order's graph, with cycles and dead ends, in depth-first order."""
+    _, out = _order_paths(spark, sf_dir)
+    return out.select("g", "path_no", F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"), F.array_join("conditions", "&").alias("conditions"), "stop_reason", "truncated")
 
 
-_ENUM = _PATHS + "SELECT path_no, array_to_string(nodes, '>') AS nodes, array_to_string(conds, '&') AS conditions, stop AS stop_reason, true AS truncated FROM r"
+_ENUM = _PATHS + "SELECT g, path_no, array_to_string(nodes, '>') AS nodes, array_to_string(conds, '&') AS conditions, stop AS stop_reason, truncated FROM r"
 
 
 def decision_table(spark, sf_dir):
     """The same paths as rows of conditions and actions."""
-    nodes = spark.createDataFrame(list(NODES), "node_id long, kind string, label string")
-    out = graphs.decision_rows(graphs.paths(_edges(spark), 0, 9), nodes)
-    return out.select("path_no", F.array_join("conditions", "&").alias("conditions"), F.array_join("actions", ";").alias("actions"))
+    nodes, found = _order_paths(spark, sf_dir)
+    out = graphs.decision_rows(found, nodes, ["g"])
+    return out.select("g", "path_no", F.array_join("conditions", "&").alias("conditions"), F.array_join("actions", ";").alias("actions"))
 
 
-_DECISION = _PATHS + f""", n(id, kind, label) AS (VALUES {", ".join(map(str, NODES))}), s AS (SELECT path_no, unnest(nodes) AS id, generate_subscripts(nodes, 1) AS pos FROM r)
-SELECT r.path_no, array_to_string(any_value(conds), '&') AS conditions, coalesce(string_agg(label, ';' ORDER BY pos), '') AS actions FROM r LEFT JOIN (SELECT s.path_no, pos, label FROM s JOIN n USING (id) WHERE kind NOT IN ('entry', 'exit', 'decision')) a USING (path_no) GROUP BY 1"""
+_DECISION = _PATHS + """, s AS (SELECT g, path_no, unnest(nodes) AS id, generate_subscripts(nodes, 1) AS pos FROM r)
+SELECT r.g, r.path_no, array_to_string(any_value(conds), '&') AS conditions, coalesce(string_agg(label, ';' ORDER BY pos), '') AS actions
+FROM r LEFT JOIN (SELECT s.g, s.path_no, pos, label FROM s JOIN n USING (g, id) WHERE kind NOT IN ('entry', 'exit', 'decision')) a ON a.g = r.g AND a.path_no = r.path_no GROUP BY 1, 2"""
 
 
 def _geo_edges(spark, sf_dir):
@@ -267,15 +304,15 @@ _CHAIN = f"WITH {_GEO}, x AS (SELECT DISTINCT src, dst, dst % 7 = 0 AS i FROM e)
 
 
 def dot_export(spark, sf_dir):
-    """Graphviz text of the sample graph."""
-    n = spark.createDataFrame(list(NODES), "node_id long, kind string, label string").withColumn("g", F.lit("sample"))
-    return graphs.dot(n, _edges(spark).withColumn("g", F.lit("sample")), ["g"])
+    """Graphviz text of every order's graph."""
+    nodes, edges = _order_graphs(spark, sf_dir)
+    return graphs.dot(nodes, edges, ["g"])
 
 
 _DOT = f"""
-WITH n(id, kind, label) AS (VALUES {", ".join(map(str, NODES))}), e(src, dst, cond, ord) AS (VALUES {", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in EDGES)}),
-l AS (SELECT 0 AS part, id AS o, '  n' || id || ' [label="' || label || '"];' AS line FROM n UNION ALL SELECT 1, ord, '  n' || src || ' -> n' || dst || CASE WHEN cond IS NULL THEN '' ELSE ' [label="' || cond || '"]' END || ';' FROM e)
-SELECT 'sample' AS g, 'digraph g {{' || chr(10) || string_agg(line, chr(10) ORDER BY part, o, line) || chr(10) || '}}' || chr(10) AS dot FROM l"""
+WITH {_ORDER_GRAPHS},
+t AS (SELECT g, 0 AS part, id AS o, '  n' || id || ' [label="' || label || '"];' AS line FROM n UNION ALL SELECT g, 1, ord, '  n' || src || ' -> n' || dst || CASE WHEN cond IS NULL THEN '' ELSE ' [label="' || cond || '"]' END || ';' FROM e)
+SELECT g, 'digraph g {{' || chr(10) || string_agg(line, chr(10) ORDER BY part, o, line) || chr(10) || '}}' || chr(10) AS dot FROM t GROUP BY g"""
 
 
 def redact_projection(spark, sf_dir):

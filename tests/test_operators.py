@@ -45,13 +45,26 @@ def test_error_byref_and_return_joins(spark):
     assert rows(joins.return_uses(uses, defs)) == [(1, 3)]
 
 
-def test_paths_depth_limit_and_order(spark):
-    e = spark.createDataFrame([(0, 1, None, 0), (1, 2, "a", 0), (1, 3, "b", 1), (2, 9, None, 0), (3, 9, None, 0)], "src long, dst long, cond string, ord long")
-    got = graphs.paths(e, 0, 9).collect()
-    assert [(r.nodes, r.conditions, r.stop_reason, r.truncated) for r in got] == [([0, 1, 2, 9], ["a"], "exit", False), ([0, 1, 3, 9], ["b"], "exit", False)]
-    assert [r.stop_reason for r in graphs.paths(e, 0, 9, max_depth=3).collect()] == ["depth_limit", "depth_limit"]
-    only = graphs.paths(e, 0, 9, limit=1).collect()
-    assert [(r.nodes, r.truncated) for r in only] == [([0, 1, 2, 9], True)]
+def test_paths_by_graph(spark):
+    rows_ = [(0, 1, None, 0), (1, 2, "a", 0), (1, 3, "b", 1), (2, 9, None, 0), (3, 9, None, 0)]
+    rows_ = [("p", *r) for r in rows_] + [("q", 0, 1, None, 0), ("q", 1, 0, "x", 1), ("q", 1, 5, "y", 0), ("r", 0, 5, None, 0), ("stray", 0, 1, None, 0), ("p", None, 3, None, 0)]
+    e = spark.createDataFrame(rows_, "g string, src long, dst long, cond string, ord long")
+    roots = spark.createDataFrame([("p", 0, 9), ("q", 0, 9), ("r", 0, 9), ("s", 0, 9), ("t", 9, 9)], "g string, entry long, exit long")
+    got = [(r.g, r.path_no, r.nodes, r.conditions, r.stop_reason, r.truncated) for r in graphs.paths(e, roots, ["g"]).orderBy("g", "path_no").collect()]
+    assert got == [
+        ("p", 1, [0, 1, 2, 9], ["a"], "exit", False), ("p", 2, [0, 1, 3, 9], ["b"], "exit", False), ("q", 1, [0, 1, 5], ["y"], "dead_end", True), ("q", 2, [0, 1, 0], ["x"], "cycle_pruned", True),
+        ("r", 1, [0, 5], [], "dead_end", False), ("s", 1, [0], [], "dead_end", False), ("t", 1, [9], [], "exit", False),
+    ]
+    p = roots.where("g = 'p'")
+    assert [r.stop_reason for r in graphs.paths(e, p, ["g"], max_depth=3).collect()] == ["depth_limit", "depth_limit"]
+    assert [(r.nodes, r.truncated) for r in graphs.paths(e, p, ["g"], limit=1).collect()] == [([0, 1, 2, 9], True)]
+
+
+def test_paths_stop_at_the_limit(spark):
+    """Forty decisions in a row have 2 ** 40 paths; no more than the limit and one are made."""
+    e = spark.createDataFrame([(k, k + 1, c, o) for k in range(40) for o, c in enumerate("ab")], "src long, dst long, cond string, ord long")
+    got = graphs.paths(e, spark.createDataFrame([(0, 40)], "entry long, exit long"), [], limit=5).orderBy("path_no").collect()
+    assert [r.conditions[-3:] for r in got] == [list(x) for x in ("aaa", "aab", "aba", "abb", "baa")] and all(r.truncated for r in got)
 
 
 def test_stomping_weaponised(spark):
