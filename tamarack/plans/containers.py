@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import formula as X
 from tamarack.operators import exports, graphs, joins, stomping, vba
+from tamarack.plans import detect
 from tamarack.sources import containers, formats, workbook
 
 
@@ -202,16 +203,15 @@ _LISTING = "SELECT 'm' AS path, '```' || chr(10) || '    0  LitDI2 5' || chr(10)
 
 
 def stomping_json(spark, sf_dir):
-    """Reports of sample modules with their findings as JSON, read back field by field."""
-    from tamarack.plans.detect import _stomp_tables
-
-    m, n = _stomp_tables(spark)
+    """Reports of documents taken as modules, and of samples, with their findings as JSON, read back field by field."""
+    m, n = detect._stomp_tables(spark, sf_dir)
     out = exports.report_json(stomping.reports(m, n, ["module"]), stomping.findings(m, n, ["module"]), ["module"])
     field = lambda p: F.get_json_object("json", p)
     return out.select("module", field("$.severity").alias("severity"), field("$.score").cast("long").alias("score"), F.coalesce(field("$.findings[0].kind"), F.lit("")).alias("first_kind"))
 
 
-_JSON = "SELECT module, severity, score::BIGINT AS score, first_kind FROM (VALUES ('broken', 'Critical', 100, 'ProcedureHiddenInPCode'), ('cache', 'Medium', 35, 'PerformanceCachePurged'), ('clean', 'Clean', 0, ''), ('empty', 'Clean', 0, ''), ('hidden', 'Critical', 100, 'LineCountDiscrepancy'), ('purged', 'Critical', 95, 'SourcePurged')) t(module, severity, score, first_kind)"
+_JSON = detect._STOMP_REPORTS.replace("SELECT module, score,", "SELECT module, (SELECT coalesce(min(kind), '') FROM found WHERE found.module = s.module) AS first_kind, score,", 1)
+_JSON = f"SELECT module, severity, score, first_kind FROM ({_JSON})"
 
 
 def formula_evaluation(spark, sf_dir):

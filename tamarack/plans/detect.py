@@ -49,12 +49,16 @@ SELECT v.name, coalesce(c.n, 0)::BIGINT AS n_tokens, coalesce(c.p, 0)::BIGINT AS
 
 
 def auto_exec_hooks(spark, sf_dir):
-    """Which names run by themselves."""
-    names = spark.createDataFrame([(n,) for n in (*fixed.AUTO_EXEC_HOOKS, "Workbook_Open", "AUTOOPEN", "Main", "")], "name string")
-    return names.select("name", stomping.is_auto_exec(F.col("name")).alias("is_hook"))
+    """Which names run by themselves: the fixed ones and all different identifiers of pages, counted."""
+    toks = text.tokens(_table(spark, sf_dir, "pages"), ["page_id"], "html").where("kind = 'identifier'").select(F.col("token").alias("name"), F.lit(1).alias("n"))
+    names = spark.createDataFrame([(n, 0) for n in (*fixed.AUTO_EXEC_HOOKS, "Workbook_Open", "AUTOOPEN", "Main", "")], "name string, n int")
+    return names.unionAll(toks).groupBy("name").agg(F.sum("n").alias("n_tokens")).select("name", stomping.is_auto_exec(F.col("name")).alias("is_hook"), "n_tokens")
 
 
-_HOOKS = f"SELECT name, lower(name) IN (SELECT h FROM (VALUES {_values(fixed.AUTO_EXEC_HOOKS)}) t(h)) AS is_hook FROM (VALUES {_values((*fixed.AUTO_EXEC_HOOKS, 'Workbook_Open', 'AUTOOPEN', 'Main', ''))}) v(name)"
+_HOOKS = f"""
+WITH t AS (SELECT unnest(regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\\.[0-9]+)?|"[^"\\n]*"|#[^#\\n]*#|[^\\sA-Za-z0-9_]')) AS name, 1 AS n FROM pages),
+a AS (SELECT name, 0 AS n FROM (VALUES {_values((*fixed.AUTO_EXEC_HOOKS, 'Workbook_Open', 'AUTOOPEN', 'Main', ''))}) v(name) UNION ALL SELECT * FROM t WHERE regexp_matches(name, '^[A-Za-z_]'))
+SELECT name, lower(name) IN (SELECT h FROM (VALUES {_values(fixed.AUTO_EXEC_HOOKS)}) t(h)) AS is_hook, sum(n)::BIGINT AS n_tokens FROM a GROUP BY name"""
 
 
 def effective_lines(spark, sf_dir):
@@ -81,17 +85,29 @@ SOURCES = (
 _SOURCE_VALUES = ", ".join(f"({k}, '{t.replace(chr(39), chr(39) * 2)}')" for k, t in SOURCES)
 
 
+#: The text of a document as source: a line that begins with one of these letters declares a procedure.
+_SOURCE_LINE = r"(^|\n)([A-M])"
+_AS_SOURCE = "regexp_replace(text, '(^|\\n)([A-M])', '\\1Sub \\2', 'g')"
+
+
+def _sources(spark, sf_dir):
+    """(module, source) of all documents, taken as sources, and of the samples."""
+    docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("module"), F.regexp_replace("text", _SOURCE_LINE, "$1Sub $2").alias("source"))
+    return docs.unionAll(spark.createDataFrame([(f"s{k}", t) for k, t in SOURCES], "module string, source string"))
+
+
 def procedure_extract(spark, sf_dir):
-    """Procedures that source texts declare."""
-    return text.procedures(spark.createDataFrame(list(SOURCES), "module int, source string"), ["module"], "source")
+    """Procedures that source texts declare: documents taken as sources, and samples."""
+    return text.procedures(_sources(spark, sf_dir), ["module"], "source")
 
 
+_HEADER = r"(?i)^(?:(?:PUBLIC|PRIVATE|FRIEND|STATIC|DEFAULT)\s+)*(?:PUBLIC|PRIVATE|FRIEND|STATIC|DEFAULT)?\s*(?:SUB|FUNCTION|PROPERTY GET|PROPERTY LET|PROPERTY SET)\s+([\p{L}\p{N}_]+)"
 _PROCEDURES = rf"""
-WITH s(module, source) AS (VALUES {_SOURCE_VALUES}),
+WITH s AS (SELECT 'd' || doc_id AS module, {_AS_SOURCE} AS source FROM documents UNION ALL SELECT 's' || k, t FROM (VALUES {_SOURCE_VALUES}) v(k, t)),
 n AS (SELECT module, regexp_replace(regexp_replace(source, '\r\n?', chr(10), 'g'), '\n$', '') AS t FROM s WHERE source <> ''),
 l AS (SELECT module, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS line_no FROM n),
 c AS (SELECT module, line_no, regexp_replace(split_part(line, '''', 1), '^\s+|\s+$', '', 'g') AS code FROM l)
-SELECT module, name, min(line_no)::BIGINT AS line_no FROM (SELECT module, line_no, regexp_extract(code, '(?i)^(?:(?:PUBLIC|PRIVATE|FRIEND|STATIC|DEFAULT)\s+)*(?:PUBLIC|PRIVATE|FRIEND|STATIC|DEFAULT)?\s*(?:SUB|FUNCTION|PROPERTY GET|PROPERTY LET|PROPERTY SET)\s+([\p{{L}}\p{{N}}_]+)', 1) AS name FROM c WHERE {_EFFECTIVE})
+SELECT module, name, min(line_no)::BIGINT AS line_no FROM (SELECT module, line_no, regexp_extract(code, '{_HEADER}', 1) AS name FROM c WHERE {_EFFECTIVE})
 WHERE name <> '' GROUP BY module, name"""
 
 
@@ -127,14 +143,30 @@ SELECT conv_id, CASE WHEN regexp_matches(token, '^[A-Za-z_]') THEN 'identifier'
 CONDITIONAL = ((1, "#Const A = 1\n#If A Then\nx\n#If B Then\ny\n#Else\nz\n#End If\n#ElseIf C Then\nw\n#End If\nlast"), (2, "plain\ntext"))
 
 
+#: Directives that take the place of a line's first letter, by letter, where a document is taken as a source.
+DIRECTIVES = (("A-D", "#If "), ("E-H", "#End If "), ("I-L", "#Else "), ("M-N", "#ElseIf "), ("O-P", "#Const "))
+
+
 def conditional_depth(spark, sf_dir):
-    """Depth of conditional compilation by line."""
-    return text.conditional_depth(spark.createDataFrame(list(CONDITIONAL), "module int, text string"), ["module"]).select("module", "line_no", F.coalesce("directive", F.lit("")).alias("directive"), "depth")
+    """Depth of conditional compilation by line: of documents whose lines become directives by their first letter, and of samples."""
+    body = F.col("text")
+    for letters, directive in DIRECTIVES:
+        body = F.regexp_replace(body, rf"(^|\n)[{letters}]", "$1" + directive)
+    docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("module"), body.alias("text"))
+    samples = spark.createDataFrame([(f"s{k}", t) for k, t in CONDITIONAL], "module string, text string")
+    return text.conditional_depth(docs.unionAll(samples), ["module"]).select("module", "line_no", F.coalesce("directive", F.lit("")).alias("directive"), "depth")
+
+
+def _directed(sql: str) -> str:
+    for letters, directive in DIRECTIVES:
+        sql = f"regexp_replace({sql}, '(^|\\n)[{letters}]', '\\1{directive}', 'g')"
+    return sql
 
 
 _CONDITIONAL = rf"""
-WITH s(module, text) AS (VALUES {", ".join(f"({k}, '{t}')" for k, t in CONDITIONAL)}),
-l AS (SELECT module, lower(trim(unnest(string_split(text, chr(10))))) AS low, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM s),
+WITH s AS (SELECT 'd' || doc_id AS module, {_directed("text")} AS text FROM documents UNION ALL SELECT 's' || k, t FROM (VALUES {", ".join(f"({k}, '{t}')" for k, t in CONDITIONAL)}) v(k, t)),
+n AS (SELECT module, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n$', '') AS t FROM s WHERE text <> ''),
+l AS (SELECT module, lower(trim(unnest(string_split(t, chr(10))))) AS low, generate_subscripts(string_split(t, chr(10)), 1) AS line_no FROM n),
 d AS (SELECT *, CASE WHEN low LIKE '#if %' THEN 'if' WHEN low LIKE '#elseif %' THEN 'elseif' WHEN regexp_matches(low, '^#else\b') THEN 'else' WHEN regexp_matches(low, '^#end ?if\b') THEN 'endif' WHEN low LIKE '#const %' THEN 'const' ELSE '' END AS directive FROM l)
 SELECT module, line_no::BIGINT AS line_no, directive, sum(CASE directive WHEN 'if' THEN 1 WHEN 'endif' THEN -1 ELSE 0 END) OVER (PARTITION BY module ORDER BY line_no)::BIGINT AS depth FROM d"""
 
@@ -153,20 +185,40 @@ NAMES = (
 )
 
 
-def _stomp_tables(spark):
-    m = spark.createDataFrame(list(MODULES), "module string, source string, source_error string, pcode_lines long, pcode_instructions long")
-    return m, spark.createDataFrame(list(NAMES), "module string, kind string, name string")
+def _stomp_tables(spark, sf_dir):
+    """(modules, names): documents taken as modules, and the samples.
+
+    The first word of a document's line is the name of a compiled procedure (in capitals in lines of even number, with
+    an X in front in others), of a call, or the line is a literal (with a mark behind in lines of odd number), by
+    number of the line. A page's address is a literal of the document of its number; each document has a sensitive call.
+    """
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    module, k = F.concat(F.lit("d"), "doc_id").alias("module"), F.col("doc_id")
+    broken, bare = k % 11 == 0, k % 5 == 0
+    m = docs.select(
+        module, F.when(~broken, F.regexp_replace("text", _SOURCE_LINE, "$1Sub $2")).alias("source"), F.when(broken, "bad container").alias("source_error"),
+        F.when(~bare, F.floor(F.length("text") / 20)).cast("long").alias("pcode_lines"), F.when(~bare, k % 7).cast("long").alias("pcode_instructions"),
+    )
+    lines = docs.select(module, F.posexplode(text.source_lines(F.col("text"))).alias("at", "line")).withColumn("word", F.regexp_extract("line", r"^[A-Za-z]+", 0)).where("word <> ''")
+    at, even = F.col("at"), F.col("at") % 2 == 0
+    kind = F.when(at % 3 == 0, "procedure").when(at % 3 == 1, "call").otherwise("literal")
+    name = F.when(kind == "procedure", F.when(even, F.upper("word")).otherwise(F.concat(F.lit("X"), "word"))).when(kind == "call", F.col("word")).otherwise(F.when(even, F.col("line")).otherwise(F.concat("line", F.lit("!"))))
+    n = lines.select("module", kind.alias("kind"), name.alias("name")).unionAll(pages.select(F.concat(F.lit("d"), "page_id"), F.lit("literal"), "url"))
+    calls = F.array(*[F.lit(c) for c in fixed.SENSITIVE_CALLS])
+    n = n.unionAll(docs.select(module, F.lit("call"), F.element_at(calls, (k % len(fixed.SENSITIVE_CALLS) + 1).cast("int")))).distinct()
+    m = m.unionAll(spark.createDataFrame(list(MODULES), "module string, source string, source_error string, pcode_lines long, pcode_instructions long"))
+    return m, n.unionAll(spark.createDataFrame(list(NAMES), "module string, kind string, name string"))
 
 
 def stomping_findings(spark, sf_dir):
-    """All ten kinds' table-driven findings over sample modules."""
-    m, n = _stomp_tables(spark)
+    """All ten kinds' table-driven findings over documents taken as modules, and samples."""
+    m, n = _stomp_tables(spark, sf_dir)
     return stomping.findings(m, n, ["module"]).select("module", "kind", "severity", F.col("weight").cast("long").alias("weight"), F.coalesce("detail", F.lit("")).alias("detail"))
 
 
 def stomping_reports(spark, sf_dir):
-    """Scores and severities of the sample modules."""
-    m, n = _stomp_tables(spark)
+    """Scores and severities of the same modules."""
+    m, n = _stomp_tables(spark, sf_dir)
     return stomping.reports(m, n, ["module"]).select("module", "score", "severity", "is_stomped", F.col("n_findings").cast("long").alias("n_findings"))
 
 
@@ -174,29 +226,40 @@ def _sql(v):
     return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
 
+def _low(sql: str) -> str:
+    return f"translate({sql}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+_SENSITIVE_LIST = "[" + ", ".join("'" + c + "'" for c in fixed.SENSITIVE_CALLS) + "]"
 _STOMP = rf"""
-WITH m(module, source, source_error, pcode_lines, pcode_instructions) AS (VALUES {", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in MODULES)}),
-n(module, kind, name) AS (VALUES {", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in NAMES)}),
+WITH m(module, source, source_error, pcode_lines, pcode_instructions) AS (VALUES {", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in MODULES)}
+ UNION ALL SELECT 'd' || doc_id, CASE WHEN doc_id % 11 <> 0 THEN {_AS_SOURCE} END, CASE WHEN doc_id % 11 = 0 THEN 'bad container' END, CASE WHEN doc_id % 5 <> 0 THEN length(text) // 20 END, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 7 END FROM documents),
+dn AS (SELECT 'd' || doc_id AS module, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n$', '') AS t FROM documents WHERE text <> ''),
+dl AS (SELECT module, line, k, regexp_extract(line, '^[A-Za-z]+') AS word FROM (SELECT module, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS k FROM dn)),
+n(module, kind, name) AS (VALUES {", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in NAMES)}
+ UNION ALL (SELECT module, 'procedure', CASE WHEN k % 2 = 0 THEN upper(word) ELSE 'X' || word END FROM dl WHERE word <> '' AND k % 3 = 0 UNION SELECT module, 'call', word FROM dl WHERE word <> '' AND k % 3 = 1
+  UNION SELECT module, 'literal', CASE WHEN k % 2 = 0 THEN line ELSE line || '!' END FROM dl WHERE word <> '' AND k % 3 = 2 UNION SELECT 'd' || page_id, 'literal', url FROM pages
+  UNION SELECT 'd' || doc_id, 'call', ({_SENSITIVE_LIST})[doc_id % {len(fixed.SENSITIVE_CALLS)} + 1] FROM documents)),
 x AS (SELECT module, regexp_replace(regexp_replace(source, '\r\n?', chr(10), 'g'), '\n$', '') AS t FROM m WHERE source <> ''),
 l AS (SELECT module, unnest(string_split(t, chr(10))) AS line FROM x),
 c AS (SELECT module, regexp_replace(split_part(line, '''', 1), '^\s+|\s+$', '', 'g') AS code FROM l),
 e AS (SELECT module, code FROM c WHERE {_EFFECTIVE}),
-p AS (SELECT DISTINCT module, regexp_extract(code, '(?i)^(?:(?:PUBLIC|PRIVATE|FRIEND|STATIC|DEFAULT)\s+)*(?:SUB|FUNCTION|PROPERTY GET|PROPERTY LET|PROPERTY SET)\s+(\w+)', 1) AS name FROM e),
-procs AS (SELECT * FROM p WHERE name <> ''),
+p AS (SELECT DISTINCT module, regexp_extract(code, '{_HEADER}', 1) AS name FROM e),
+procs AS (SELECT module, name, {_low("name")} AS low FROM p WHERE name <> ''),
 f AS (SELECT m.*, (SELECT count(*) FROM l WHERE l.module = m.module) AS nl, (SELECT count(*) FROM e WHERE e.module = m.module) AS ne, (SELECT count(*) FROM procs WHERE procs.module = m.module) AS np FROM m),
 sus(pat) AS (VALUES {_values(fixed.SUSPICIOUS_PATTERNS)}), sen(call) AS (VALUES {_values(fixed.SENSITIVE_CALLS)}), hooks(h) AS (VALUES {_values(fixed.AUTO_EXEC_HOOKS)}),
+nn AS (SELECT n.*, {_low("n.name")} AS low, source FROM n JOIN m USING (module) WHERE pcode_lines IS NOT NULL), np AS (SELECT DISTINCT module, low FROM nn WHERE kind = 'procedure'),
+un AS (SELECT *, EXISTS (SELECT 1 FROM sus WHERE contains(nn.low, pat)) AS bad FROM nn WHERE NOT contains({_low("coalesce(source, '')")}, low)),
 found AS (
  SELECT module, 'PerformanceCachePurged' AS kind, 'Medium' AS severity, 35 AS weight, '' AS detail FROM f WHERE np > 0 AND ne > 0 AND coalesce(pcode_instructions, 0) = 0
  UNION ALL SELECT module, 'SourceCorruptedWithValidPCode', 'Critical', 95, source_error FROM f WHERE pcode_instructions > 0 AND source_error IS NOT NULL
  UNION ALL SELECT module, 'SourcePurged', 'Critical', 95, '' FROM f WHERE pcode_instructions > 0 AND source_error IS NULL AND (nl = 0 OR ne = 0)
  UNION ALL SELECT module, 'LineCountDiscrepancy', 'Medium', 25, '' FROM f WHERE nl > 0 AND pcode_lines > nl * 4 AND pcode_lines > 20
- UNION ALL SELECT n.module, 'ProcedureHiddenInPCode', CASE WHEN lower(name) IN (SELECT h FROM hooks) THEN 'Critical' ELSE 'High' END, CASE WHEN lower(name) IN (SELECT h FROM hooks) THEN 60 ELSE 40 END, name
-   FROM n JOIN m USING (module) WHERE kind = 'procedure' AND pcode_lines IS NOT NULL AND NOT EXISTS (SELECT 1 FROM procs q WHERE q.module = n.module AND lower(q.name) = lower(n.name))
- UNION ALL SELECT q.module, 'ProcedureMissingInPCode', 'Medium', 20, q.name FROM procs q JOIN m USING (module) WHERE EXISTS (SELECT 1 FROM n WHERE n.module = q.module AND kind = 'procedure')
-   AND NOT EXISTS (SELECT 1 FROM n WHERE n.module = q.module AND kind = 'procedure' AND lower(n.name) = lower(q.name))
- UNION ALL SELECT n.module, 'SuspiciousLiteralInPCode', CASE WHEN EXISTS (SELECT 1 FROM sus WHERE contains(lower(n.name), pat)) THEN 'Critical' ELSE 'Low' END, CASE WHEN EXISTS (SELECT 1 FROM sus WHERE contains(lower(n.name), pat)) THEN 50 ELSE 5 END, name
-   FROM n JOIN m USING (module) WHERE kind = 'literal' AND NOT contains(lower(coalesce(source, '')), lower(name)) AND (strlen(name) > 10 OR EXISTS (SELECT 1 FROM sus WHERE contains(lower(n.name), pat)))
- UNION ALL SELECT n.module, 'SensitiveCallInPCode', 'High', 45, name FROM n JOIN m USING (module) WHERE kind = 'call' AND NOT contains(lower(coalesce(source, '')), lower(name)) AND lower(name) IN (SELECT lower(call) FROM sen))
+ UNION ALL SELECT module, 'ProcedureHiddenInPCode', CASE WHEN low IN (SELECT h FROM hooks) THEN 'Critical' ELSE 'High' END, CASE WHEN low IN (SELECT h FROM hooks) THEN 60 ELSE 40 END, name
+   FROM nn WHERE kind = 'procedure' AND NOT EXISTS (SELECT 1 FROM procs q WHERE q.module = nn.module AND q.low = nn.low)
+ UNION ALL SELECT q.module, 'ProcedureMissingInPCode', 'Medium', 20, q.name FROM procs q WHERE q.module IN (SELECT module FROM np) AND NOT EXISTS (SELECT 1 FROM np WHERE np.module = q.module AND np.low = q.low)
+ UNION ALL SELECT module, 'SuspiciousLiteralInPCode', CASE WHEN bad THEN 'Critical' ELSE 'Low' END, CASE WHEN bad THEN 50 ELSE 5 END, name FROM un WHERE kind = 'literal' AND (strlen(name) > 10 OR bad)
+ UNION ALL SELECT module, 'SensitiveCallInPCode', 'High', 45, name FROM un WHERE kind = 'call' AND low IN (SELECT lower(call) FROM sen))
 """
 _STOMP_FINDINGS = _STOMP + "SELECT module, kind, severity, weight::BIGINT AS weight, detail FROM found"
 _STOMP_REPORTS = _STOMP + """, s AS (SELECT m.module, least(100, coalesce(sum(weight), 0))::BIGINT AS score, max(list_position(['Clean', 'Low', 'Medium', 'High', 'Critical'], severity)) AS top, count(severity)::BIGINT AS n_findings, max(pcode_lines) AS pl FROM m LEFT JOIN found USING (module) GROUP BY 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamarack.functions import fixed
-from tamarack.operators import facts
+from tamarack.operators import facts, text
 from tamarack.plans.containers import SOURCE
 from tamarack.plans.relational import EDGES, NODES
 
@@ -93,13 +93,21 @@ SELECT k AS read_id, coalesce(CASE WHEN pn IS NOT NULL THEN CASE WHEN pn = 1 THE
  CASE WHEN pn = 1 THEN 'procedure' WHEN pn IS NULL AND mn = 1 THEN 'module' WHEN pn IS NULL AND mn IS NULL AND gn = 1 THEN 'public' ELSE 'unresolved' END AS state FROM j"""
 
 
+SAMPLE_CONDITIONS = ((-1, ["(1 > 2) = True"]), (-2, ["(x > 2) = True"]), (-3, ["(DEBUGGING And x) = True"]), (-4, ["(Not DEBUGGING) = True", "(2 * 3 = 6) = False"]), (-5, []), (-6, ['("a" & "b" = "ab") = True']))
+
+
 def path_feasibility(spark, sf_dir):
-    """Paths whose constant conditions fail."""
-    d = spark.createDataFrame([(1, ["(1 > 2) = True"]), (2, ["(x > 2) = True"]), (3, ["(DEBUGGING And x) = True"]), (4, ["(Not DEBUGGING) = True", "(2 * 3 = 6) = False"]), (5, []), (6, ['("a" & "b" = "ab") = True'])], "path_id long, conditions array<string>")
-    return facts.feasibility(d, {"debugging": False})
+    """Paths whose constant conditions fail: one with the size of each part, and samples."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    size = F.col("p_size")
+    conditions = F.array(F.lit("(x > 2) = True"), F.format_string("(%d > 25) = %s", size, F.when(F.col("p_retailprice") > 1000, "True").otherwise("False")), F.format_string("(%d * 2 = %d And Not DEBUGGING) = True", size, size * 2))
+    d = part.select(F.col("p_partkey").alias("path_id"), conditions.alias("conditions"))
+    return facts.feasibility(d.unionAll(spark.createDataFrame(list(SAMPLE_CONDITIONS), "path_id long, conditions array<string>")), {"debugging": False})
 
 
-_FEASIBLE = "SELECT path_id::BIGINT AS path_id, CASE WHEN path_id IN (1, 3, 4) THEN 'infeasible_constant_condition' ELSE 'not_checked' END AS feasibility FROM range(1, 7) t(path_id)"
+_FEASIBLE = """
+SELECT p_partkey AS path_id, CASE WHEN (p_size > 25) <> (p_retailprice > 1000) THEN 'infeasible_constant_condition' ELSE 'not_checked' END AS feasibility FROM part
+UNION ALL SELECT -path_id::BIGINT, CASE WHEN path_id IN (1, 3, 4) THEN 'infeasible_constant_condition' ELSE 'not_checked' END FROM range(1, 7) t(path_id)"""
 
 
 def unassociated_facts(spark, sf_dir):
@@ -109,17 +117,21 @@ def unassociated_facts(spark, sf_dir):
 
 _UNASSOCIATED = "SELECT count(*)::BIGINT AS n_unassociated FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)"
 
-MASTERS = ((1, 0, 1, 5, 1, 1, "A1+1"), (1, 1, 1, 2, 2, 2, "B1"), (1, 1, 3, 4, 2, 2, "B3"))
-FOLLOWERS = ((1, 0, 3, 1), (1, 0, 9, 1), (1, 1, 2, 2), (1, 7, 1, 1))
-
 
 def shared_formulas(spark, sf_dir):
-    """Follower cells with the formula of their one master."""
-    m = spark.createDataFrame(list(MASTERS), "sheet int, shared int, row1 int, row2 int, col1 int, col2 int, formula string")
-    return facts.shared_formulas(spark.createDataFrame(list(FOLLOWERS), "sheet int, shared int, row int, col int"), m).select("shared", "row", F.coalesce("formula", F.lit("")).alias("formula"), "state")
+    """Line items as follower cells with the formula of the one part that is their master."""
+    part, li = spark.read.parquet(f"{sf_dir}/part.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    half = lambda c: F.floor(F.col(c) / 2).cast("long")
+    m = part.select((F.col("p_size") % 2).alias("sheet"), half("p_partkey").alias("shared"), F.lit(1).alias("row1"), F.col("p_size").alias("row2"), F.lit(1).alias("col1"), F.lit(6).alias("col2"), F.concat(F.lit("A"), "p_partkey", F.lit("+1")).alias("formula"))
+    f = li.select((F.col("l_linenumber") % 2).alias("sheet"), half("l_partkey").alias("shared"), F.col("l_quantity").cast("int").alias("row"), F.col("l_linenumber").alias("col"))
+    return facts.shared_formulas(f, m).groupBy("shared", "state", F.coalesce("formula", F.lit("")).alias("formula")).agg(F.count("*").alias("n_cells"))
 
 
-_SHARED = "SELECT * FROM (VALUES (0, 3, 'A1+1', 'resolved'), (0, 9, '', 'outside_master'), (1, 2, '', 'ambiguous_master'), (7, 1, '', 'no_master')) t(shared, row, formula, state)"
+_SHARED = """
+WITH m AS (SELECT p_size % 2 AS sheet, p_partkey // 2 AS shared, count(*) AS n, min(p_size) AS row2, min(p_partkey) AS k FROM part GROUP BY 1, 2),
+f AS (SELECT DISTINCT l_linenumber % 2 AS sheet, l_partkey // 2 AS shared, l_quantity::INT AS row, l_linenumber AS col FROM lineitem),
+j AS (SELECT f.shared, CASE WHEN n IS NULL THEN 'no_master' WHEN n > 1 THEN 'ambiguous_master' WHEN row BETWEEN 1 AND row2 AND col <= 6 THEN 'resolved' ELSE 'outside_master' END AS state, k FROM f LEFT JOIN m USING (sheet, shared))
+SELECT shared, state, CASE WHEN state = 'resolved' THEN 'A' || k || '+1' ELSE '' END AS formula, count(*)::BIGINT AS n_cells FROM j GROUP BY ALL"""
 
 
 def structured_references(spark, sf_dir):
@@ -137,16 +149,21 @@ WORDS = ("Range", "Cells", "xlUp", "ListObject", "value2", "Save", "nothing", "W
 
 
 def host_names(spark, sf_dir):
-    """What names are to the spreadsheet host."""
-    d = spark.createDataFrame([(w,) for w in WORDS], "name string")
-    return d.select("name", facts.is_data_access(F.col("name")).alias("is_access"), F.coalesce(facts.host_word(F.col("name")), F.lit("")).alias("word"))
+    """What names are to the spreadsheet host: the identifiers of conversations, counted, and samples."""
+    toks = text.tokens(spark.read.parquet(f"{sf_dir}/conversations.parquet"), ["conv_id"]).where("kind = 'identifier'").select(F.col("token").alias("name"), F.lit(1).alias("n"))
+    d = spark.createDataFrame([(w, 0) for w in WORDS], "name string, n int").unionAll(toks).groupBy("name").agg(F.sum("n").alias("n_tokens"))
+    return d.select("name", facts.is_data_access(F.col("name")).alias("is_access"), F.coalesce(facts.host_word(F.col("name")), F.lit("")).alias("word"), "n_tokens")
 
 
 def _in(names):
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
-_HOST = f"SELECT name, lower(name) IN {_in(fixed.DATA_ACCESS_NAMES)} AS is_access, CASE WHEN lower(name) IN {_in(fixed.HOST_TYPES)} THEN 'type' WHEN lower(name) IN {_in(fixed.HOST_CONSTANTS)} THEN 'constant' WHEN lower(name) IN {_in(fixed.HOST_MEMBERS)} THEN 'member' ELSE '' END AS word FROM (VALUES {', '.join(f'({w!r})' for w in WORDS)}) t(name)"
+_HOST = f"""
+WITH t AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\\.[0-9]+)?|"[^"\\n]*"|#[^#\\n]*#|[^\\sA-Za-z0-9_]')) AS name, 1 AS n FROM conversations),
+a AS (SELECT name, 0 AS n FROM (VALUES {', '.join(f'({w!r})' for w in WORDS)}) v(name) UNION ALL SELECT * FROM t WHERE regexp_matches(name, '^[A-Za-z_]'))
+SELECT name, lower(name) IN {_in(fixed.DATA_ACCESS_NAMES)} AS is_access, CASE WHEN lower(name) IN {_in(fixed.HOST_TYPES)} THEN 'type' WHEN lower(name) IN {_in(fixed.HOST_CONSTANTS)} THEN 'constant' WHEN lower(name) IN {_in(fixed.HOST_MEMBERS)} THEN 'member' ELSE '' END AS word, sum(n)::BIGINT AS n_tokens
+FROM a GROUP BY name"""
 
 
 def node_predicates(spark, sf_dir):
@@ -181,13 +198,19 @@ _SIMPLE = "SELECT p_partkey, CASE WHEN p_size > 25 THEN CASE WHEN regexp_full_ma
 
 
 def designer_mask(spark, sf_dir):
-    """Form preambles masked up to the first attribute, offsets kept."""
-    d = spark.createDataFrame([("a.frm", "VERSION 5\r\nBégin\r\nAttribute VB_Name = \"F\"\r\nx"), ("b.bas", "VERSION\nAttribute VB_Name"), ("c.cls", "no attribute")], "name string, source string")
+    """Form preambles masked up to the first attribute, offsets kept: documents taken as preambles, by name of file."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = docs.select("doc_id", F.element_at(F.array(*[F.lit(n) for n in FILES]), (F.col("doc_id") % len(FILES) + 1).cast("int")).alias("name"), F.concat(F.coalesce("text", F.lit("")), F.lit('\r\nAttribute VB_Name = "F"\n'), F.coalesce("text", F.lit(""))).alias("source"))
     m = facts.designer_masked(F.col("name"), F.col("source"))
-    return d.select("name", F.octet_length(m).cast("long").alias("n_bytes"), F.regexp_replace(F.regexp_replace(m, "\r", "<CR>"), "\n", "<LF>").alias("masked"))
+    return d.select("doc_id", "name", F.octet_length(m).cast("long").alias("n_bytes"), F.md5(m.cast("binary")).alias("masked_md5"))
 
 
-_MASK = "SELECT name, n::BIGINT AS n_bytes, masked FROM (VALUES ('a.frm', 45, '         <CR><LF>      <CR><LF>Attribute VB_Name = \"F\"<CR><LF>x'), ('b.bas', 25, 'VERSION<LF>Attribute VB_Name'), ('c.cls', 12, 'no attribute')) t(name, n, masked)"
+FILES = ("a.frm", "b.bas", "c.CLS")
+_BLANK = "array_to_string(list_transform(string_split(t, chr(10)), lambda x: array_to_string(list_transform(string_split(x, chr(13)), lambda y: repeat(' ', strlen(y))), chr(13))), chr(10))"
+_MASK = f"""
+WITH d AS (SELECT doc_id, (['a.frm', 'b.bas', 'c.CLS'])[doc_id % 3 + 1] AS name, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, name, CASE WHEN name = 'b.bas' THEN t ELSE {_BLANK} END || chr(13) || chr(10) || 'Attribute VB_Name = "F"' || chr(10) || t AS m FROM d)
+SELECT doc_id, name, strlen(m)::BIGINT AS n_bytes, md5(m) AS masked_md5 FROM m"""
 
 QUERIES = {
     f.__name__: f

@@ -11,22 +11,24 @@ INTS = (-40000, -7, -1, 0, 1, 2, 3, 7, 10, 255, 32767)
 PAIRS = ", ".join(f"({a}, {b})" for a in INTS for b in (-3, 0, 2, 5, 12))
 
 
-def _pairs(spark):
-    return spark.createDataFrame([(a, b) for a in INTS for b in (-3, 0, 2, 5, 12)], "a long, b long")
+def _pairs(spark, sf_dir):
+    """Pairs of chosen integers, and of part and line of each line item."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_partkey") * 37 - 900).alias("a"), (F.col("l_linenumber") - 3).cast("long").alias("b"))
+    return spark.createDataFrame([(a, b) for a in INTS for b in (-3, 0, 2, 5, 12)], "a long, b long").unionAll(lines)
 
 
 def integer_operators(spark, sf_dir):
     """Arithmetic in 16 bits, bitwise operators and rounding; unresolved results are -99999."""
     a, b = F.col("a"), F.col("b")
     n = lambda c: F.coalesce(c.cast("long"), F.lit(-99999))
-    return _pairs(spark).select(
+    return _pairs(spark, sf_dir).select(
         "a", "b", n(V.add(a, b)).alias("add_"), n(V.multiply(a, b)).alias("mul"), n(V.exact_divide(a, b)).alias("div_"), n(V.mod(a, b)).alias("mod_"), *[n(V.bitwise(o, a, b)).alias("b" + o) for o in ("and", "or", "xor", "eqv", "imp")],
         n(V.cint(a / 2.0)).alias("cint_"), n(V.fix(a / 4.0)).alias("fix_"), n(V.int_(a / 4.0)).alias("int_"), n(V.sgn(a)).alias("sgn_"), n(V.exact_sqrt(a)).alias("sqr_"),
     )
 
 
 _INTEGER = f"""
-WITH v(a, b) AS (SELECT a::BIGINT, b::BIGINT FROM (VALUES {PAIRS}) t(a, b))
+WITH v(a, b) AS (SELECT a::BIGINT, b::BIGINT FROM (VALUES {PAIRS}) t(a, b) UNION ALL SELECT l_partkey * 37 - 900, l_linenumber - 3 FROM lineitem)
 SELECT a, b, coalesce(CASE WHEN a + b BETWEEN -32768 AND 32767 THEN a + b END, -99999)::BIGINT AS add_, coalesce(CASE WHEN a * b BETWEEN -32768 AND 32767 THEN a * b END, -99999)::BIGINT AS mul,
  coalesce(CASE WHEN b <> 0 AND a % nullif(b, 0) = 0 AND a // nullif(b, 0) BETWEEN -32768 AND 32767 THEN a // nullif(b, 0) END, -99999)::BIGINT AS div_, coalesce(CASE WHEN a >= 0 AND b > 0 THEN a % nullif(b, 0) END, -99999)::BIGINT AS mod_,
  a & b AS band, a | b AS bor, xor(a, b) AS bxor, ~xor(a, b) AS beqv, (~a) | b AS bimp,
