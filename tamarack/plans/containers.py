@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tamarack.functions import formula as X
+from tamarack.functions import pcode
 from tamarack.operators import exports, graphs, joins, stomping, vba
 from tamarack.plans import detect
 from tamarack.sources import containers, formats, workbook
@@ -61,6 +62,41 @@ def vba_modules(spark, sf_dir):
 _MODULES = "SELECT item_id, 'Project' AS project, m.module, m.kind, m.in_manifest, m.n_lines, m.source_error FROM benchmark, (VALUES ('Main', 'module', true, 5::BIGINT, ''), ('Ghost', 'procedural', false, 1::BIGINT, 'no container signature')) m(module, kind, in_manifest, n_lines, source_error)"
 
 
+def _identified(text: str) -> bytes:
+    return formats.cfb_write({"VBA/_VBA_PROJECT": formats.project_identifiers_bytes([w for w in text.split(" ") if w])})
+
+
+def vba_identifiers(spark, sf_dir):
+    """Words of benchmark texts as the identifiers of macro projects, read back by the codes that compiled lines have for them."""
+    found = containers.vba_identifiers(_pack(_texts(spark, sf_dir), _identified))
+    projects = found.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("x")).select("path", F.col("x.name").alias("own"))
+    # Codes one before the first identifier to one behind the last.
+    codes = projects.select("path", "own", F.posexplode(F.sequence(F.lit(-1), F.size("own"))).alias("k", "at"))
+    n = F.col("at") + 7 + F.when(F.col("at") >= 0xBF, 1).otherwise(0) + pcode.FIRST_OWN
+    name = pcode.identifier_name(n * 2, F.col("own"), F.array().cast("array<string>"), F.lit(7), F.lit(True))
+    return codes.select(F.col("path").cast("long").alias("item_id"), F.col("at").cast("long").alias("at"), name.alias("name"))
+
+
+_IDENTIFIERS = """
+WITH w AS (SELECT item_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS own FROM benchmark WHERE text IS NOT NULL),
+c AS (SELECT item_id, own, unnest(range(-1, len(own) + 1)) AS k FROM w WHERE len(own) > 0)
+SELECT item_id, k AS "at", CASE WHEN k = len(own) THEN 'id_' || printf('%04X', 2 * (k + 7 + CASE WHEN k >= 191 THEN 1 ELSE 0 END + 256)) ELSE own[greatest(k, 0) + 1] END AS name FROM c"""
+
+
+def opcode_translation(spark, sf_dir):
+    """Opcodes of all versions, one for each line item, as those of version 7, counted."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    version = F.element_at(F.array(*[F.lit(v) for v in (3, 5, 6, 7)]), F.col("l_linenumber") % 4 + 1)
+    d = li.select((F.col("l_partkey") % 264).alias("opcode"), version.alias("version"), (F.col("l_linestatus") == "O").alias("is_64bit"))
+    return d.groupBy("opcode", "version", "is_64bit", pcode.translate_opcode(F.col("opcode"), F.col("version"), F.col("is_64bit")).alias("translated")).agg(F.count("*").alias("n"))
+
+
+_OPCODES = f"""
+WITH s(version, bound, shift) AS (VALUES {', '.join(f'({v}, {b or 1023}, {n})' for v, steps in pcode.OPCODE_SHIFTS.items() for b, n in steps)}),
+d AS (SELECT l_partkey % 264 AS opcode, ([3, 5, 6, 7])[l_linenumber % 4 + 1] AS version, l_linestatus = 'O' AS is_64bit, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT opcode, version, is_64bit, CASE WHEN version >= 6 AND is_64bit THEN opcode ELSE opcode + (SELECT min(shift) FROM s WHERE s.version = least(d.version, 6) AND opcode <= bound) END AS translated, n FROM d"""
+
+
 def container_stomping(spark, sf_dir):
     """Macro containers through unpacking, parsing and the stomping rules to one report each."""
     files = containers.vba_bytes(_pack(_texts(spark, sf_dir), _project))
@@ -310,9 +346,9 @@ def special_functions(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (zip_entries, vba_modules, container_stomping, vba_statements, vba_graphs, vba_paths, vba_call_edges, vba_entry_points, vba_assignment_types, type_lattice, pcode_listing, disassembly_markdown, stomping_json, formula_evaluation, deobfuscated_formulas, formula_reference_cells, workbook_cells, workbook_sheets, special_functions)
+    for f in (zip_entries, vba_modules, vba_identifiers, opcode_translation, container_stomping, vba_statements, vba_graphs, vba_paths, vba_call_edges, vba_entry_points, vba_assignment_types, type_lattice, pcode_listing, disassembly_markdown, stomping_json, formula_evaluation, deobfuscated_formulas, formula_reference_cells, workbook_cells, workbook_sheets, special_functions)
 }
 ORACLES = {
-    "zip_entries": _ZIP, "vba_modules": _MODULES, "container_stomping": _CONTAINER, "vba_statements": _STATEMENTS, "vba_call_edges": _CALLS, "vba_entry_points": _ENTRIES, "vba_assignment_types": _ASSIGNED, "pcode_listing": _PCODE, "disassembly_markdown": _LISTING, "stomping_json": _JSON, "formula_evaluation": _FORMULA, "deobfuscated_formulas": _DEOBFUSCATED,
+    "zip_entries": _ZIP, "vba_modules": _MODULES, "vba_identifiers": _IDENTIFIERS, "opcode_translation": _OPCODES, "container_stomping": _CONTAINER, "vba_statements": _STATEMENTS, "vba_call_edges": _CALLS, "vba_entry_points": _ENTRIES, "vba_assignment_types": _ASSIGNED, "pcode_listing": _PCODE, "disassembly_markdown": _LISTING, "stomping_json": _JSON, "formula_evaluation": _FORMULA, "deobfuscated_formulas": _DEOBFUSCATED,
     "formula_reference_cells": _REFERENCES, "workbook_cells": _CELLS, "workbook_sheets": _SHEETS,
 }

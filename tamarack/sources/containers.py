@@ -124,6 +124,19 @@ def vba_references(files: DataFrame) -> DataFrame:
     return _run(files, lambda c: [(r["name"], r["kind"], r["libid"]) for r in _project(c)[2]["references"]], "path string, name string, kind string, libid string, error string")
 
 
+def vba_identifiers(files: DataFrame) -> DataFrame:
+    """(path, at, name, error) of the identifiers of compound files' VBA projects, numbered from 0."""
+
+    def unpack(content):
+        streams = fmt.cfb_streams(content)
+        found = [v for p, v in streams.items() if p.rsplit("/", 1)[-1].upper() == "_VBA_PROJECT"]
+        if not found:
+            raise fmt.FormatError("no identifier table")
+        yield from enumerate(fmt.project_identifiers(found[0]))
+
+    return _run(files, unpack, "path string, at long, name string, error string")
+
+
 def split_libid(libid: Column) -> list[Column]:
     """guid, version, lcid, target and description of *\\G{guid}#version#lcid#path#description."""
     part = lambda n: F.split_part(libid, F.lit("#"), F.lit(n))

@@ -433,6 +433,117 @@ def line_map_bytes(lines: list[bytes]) -> bytes:
     return out + b"\0" * 10 + b"".join(lines)
 
 
+class _Reader:
+    """Little-endian numbers and sized blocks one after the other; FormatError at the end of the data."""
+
+    def __init__(self, data: bytes, at: int = 0):
+        self.data, self.at = data, at
+
+    def skip(self, n: int) -> bytes:
+        begin, self.at = self.at, self.at + n
+        if self.at > len(self.data):
+            raise FormatError(f"data ends early at {begin}")
+        return self.data[begin : self.at]
+
+    def number(self, size: int = 2) -> int:
+        return int.from_bytes(self.skip(size), "little")
+
+    def block(self, unit: int = 1, size: int = 2, optional: bool = False) -> None:
+        """Pass a count and so many units; all ones mean that an optional block isn't there."""
+        n = self.number(size)
+        if not (optional and n in (0xFFFF, (1 << 8 * size) - 1)):
+            self.skip(n * unit)
+
+
+def project_identifiers(stream: bytes) -> list[str]:
+    """Identifiers of a _VBA_PROJECT stream, in order: what identifiers' codes in compiled lines count.
+
+    The stream is references, tables by count and module descriptors, whose fields depend on the version; the
+    identifiers stand at its end. A list that the stream's end cuts is given as far as it goes.
+    """
+    r = _Reader(stream)
+    if len(stream) < 30 or r.number() != 0x61CC:
+        raise FormatError("no identifier table")
+    version = r.number()
+    odd = version in (0x60, 0x62, 0x63)
+    wide_references = version == 0x4E or version >= 0x5B and not odd
+    wide_names = version == 0x4E or version >= 0x59 and not odd
+    narrow_names = version <= 0x59 and version != 0x4E or 0x5F < version < 0x6B
+    r.at = 30
+    n_references = r.number()
+    if n_references > 1024:
+        raise FormatError("too many references")
+    r.skip(2)
+    mark = 4 if wide_references else 2
+    for _ in range(n_references):
+        n = r.number()
+        if r.skip(n or 6)[mark : mark + 1] in (b"C", b"D") and n:
+            r.block()
+        r.skip(10)
+        if r.number():
+            r.block()
+            n = r.number()
+            r.skip((n + 2 if n else 0) + 30)
+    r.block(2)
+    r.block(4)
+    r.skip(2)
+    for _ in range(3):
+        r.block(optional=True)
+    r.skip(100)
+    n_modules = r.number()
+    if n_modules > 4096:
+        raise FormatError("too many module descriptors")
+    for _ in range(n_modules):
+        n = r.number()
+        r.skip(n if wide_names else 0)
+        if narrow_names and n:
+            r.block()
+        r.block()
+        r.block(optional=True)
+        r.skip(2)
+        for _ in range(2 if version >= 0x6B else 1):
+            r.block(optional=True)
+        r.skip(2 if version == 0x51 else 6)
+        r.block(8)
+        r.skip(11)
+    r.skip(6)
+    r.block(size=4)
+    r.skip(6)
+    last, every, first = r.number(), r.number(), r.number()
+    r.skip(4)
+    unused, wanted = every + first - last, last - first
+    if unused < 0 or wanted < 0:
+        raise FormatError("identifier counts don't fit")
+    for _ in range(unused):
+        kind, n = r.skip(6)[4:]
+        r.skip((6 if kind & 0x80 else 0) + n)
+    out: list[str] = []
+    try:
+        for _ in range(wanted):
+            kind, n = r.skip(2)
+            own = bool(kind or n)
+            if not own:
+                kind, n = r.skip(4)[2:]
+            r.skip(6 if kind & 0x80 else 0)
+            name = r.skip(n)
+            try:
+                out.append(name.decode())
+            except UnicodeDecodeError:
+                out.append(name.decode("latin-1"))
+            r.skip(4 if own else 0)
+    except FormatError:
+        pass
+    return out
+
+
+def project_identifiers_bytes(names: list[str], version: int = 0x97) -> bytes:
+    """A stream without references and modules that has these identifiers, of at most 255 bytes each."""
+    word = struct.Struct("<H").pack
+    out = (word(0x61CC) + word(version)).ljust(30, b"\0") + bytes(4 + 2 + 2 + 2 + 3 * 2 + 100 + 2 + 6 + 4 + 6)
+    raw = [n.encode() for n in names]
+    return out + word(len(raw)) * 2 + bytes(6) + b"".join(bytes((0, len(n))) + n + bytes(4) for n in raw)
+
+
 def disassemble(code: bytes, opcodes: dict[int, tuple[str, tuple[str, ...], bool]], names) -> tuple[list[dict], str]:
     """Instructions of a line by a table opcode: (mnemonic, operand kinds, payload follows), and an issue or ''.
 

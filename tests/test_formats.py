@@ -74,3 +74,38 @@ def test_line_map():
     assert f.line_map(b"nothing") is None
     with pytest.raises(f.FormatError):
         f.line_map(f.line_map_bytes(lines) + f.line_map_bytes(lines))
+
+
+def test_project_identifiers():
+    names = ["Main", "x", "Größe", "", "n" * 255]
+    data = f.project_identifiers_bytes(names[:3])
+    assert f.project_identifiers(data) == names[:3]
+    assert f.project_identifiers(f.project_identifiers_bytes([])) == []
+    # The first of two identifiers is unused, the second a reserved word, whose number stands in place of a trailer; a third has bytes ahead.
+    word = struct.Struct("<H").pack
+    head = f.project_identifiers_bytes([])[:-10]
+    entries = bytes(4) + b"\0\x01j" + b"\0\0\x07\0\0\x02If" + b"\x80\x01" + bytes(6) + b"z" + bytes(4)
+    data = head + word(3) + word(2) + word(1) + bytes(4) + b"\0\x01j" + bytes(4) + entries[7:]
+    assert f.project_identifiers(data) == ["j", "If"]
+    data = head + word(2) + word(3) + word(0) + bytes(4) + entries
+    assert f.project_identifiers(data) == ["If", "z"]
+    # Cut in the last name.
+    assert f.project_identifiers(data[:-5]) == ["If"]
+
+
+def test_project_identifiers_with_references_and_modules():
+    word = struct.Struct("<H").pack
+    plain = f.project_identifiers_bytes(["a", "b"])
+    body = "*\\Cxx".encode("utf-16-le")
+    one = word(len(body)) + body + word(3) + b"ccc" + bytes(10) + word(0)
+    two = word(0) + bytes(6) + bytes(10) + word(1) + word(2) + b"qq" + word(4) + bytes(4 + 2 + 30)
+    module = word(4) + b"M\0N\0" + word(2) + b"tt" + word(0xFFFF) + word(0) + word(0xFFFF) + word(1) + b"x" + word(0) + bytes(4) + word(1) + bytes(8) + bytes(11)
+    at = 34 + 2 + 2 + 2 + 6 + 100
+    data = plain[:30] + word(2) + bytes(2) + one + two + plain[34:at] + word(1) + module + plain[at + 2 :]
+    assert f.project_identifiers(data) == ["a", "b"]
+
+
+@pytest.mark.parametrize("data", [b"", bytes(40), f.project_identifiers_bytes(["a"])[:60], f.project_identifiers_bytes(["a"])[:30] + b"\xff\xff" + bytes(200)])
+def test_project_identifiers_damage(data):
+    with pytest.raises(f.FormatError):
+        f.project_identifiers(data)

@@ -159,3 +159,20 @@ def test_cut_cells_and_states_are_marked(spark):
     s = spark.createDataFrame([("M", "Sub A()\nx = 1\ny = 2\nEnd Sub\n")], "module string, source string")
     assert "truncated" in {r.cond for r in facts.error_edges(s, max_states=1).collect()}
     assert "truncated" not in {r.cond for r in facts.error_edges(s).collect()}
+
+
+def test_identifier_names(spark):
+    from tamarack.functions import pcode
+
+    d = spark.createDataFrame([(c, v, w) for c, v, w in [(0x208, 7, False), (0x20E, 7, True), (0x200, 7, True), (0x200, 6, False), (0x202, 6, True), (0x204, 6, True), (2, 6, False), (0x186, 7, False), (0x186, 6, False)]], "c int, v int, w boolean")
+    reserved = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.concat(F.lit("r"), k.cast("string")))
+    name = pcode.identifier_name(F.col("c"), F.array(F.lit("a"), F.lit("b")), reserved, F.col("v"), F.col("w"))
+    assert [r[0] for r in d.select(name).collect()] == ["a", "a", "a", "a", "b", "id_0204", "r1", "r194", "r195"]
+
+
+def test_translate_opcode(spark):
+    from tamarack.functions import pcode
+
+    d = spark.createDataFrame([(67, 3, True), (68, 3, True), (239, 3, False), (69, 5, False), (171, 5, False), (173, 6, False), (174, 7, False), (200, 6, False), (200, 7, True), (None, 3, True), (5, None, True)], "o int, v int, w boolean")
+    got = [r[0] for r in d.select(pcode.translate_opcode(F.col("o"), F.col("v"), F.col("w"))).collect()]
+    assert got == [67, 70, 263, 70, 182, 173, 175, 203, 200, None, None]
