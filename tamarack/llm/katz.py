@@ -1,4 +1,4 @@
-"""LM scoring with a Katz backoff bigram model over words and text ends.
+"""LM scoring with a Katz backoff model over words and text ends: bigrams, or n-grams of any other order.
 
 P(w | h) = d(c(h, w)) c(h, w) / c(h) for a pair seen in training, else alpha(h) P(w). d are Good-Turing
 discounts (1 above K), and alpha(h) is what makes the words' probabilities sum to 1 after h, computed over
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import drop_table, parts, release, table, tidy
+from tamarack.llm.common import WORD, drop_table, parts, release, table, tidy
 
 #: Counts up to which Good-Turing discounts apply; tokens of a chunk; pairs of a partition; heavy histories.
 K, CHUNK, PAIRS, HEAVY = 5, 700_000, 500_000, 1000
@@ -244,7 +244,9 @@ class Counts:
         d = discounts([by.get(r, 0) for r in range(1, K + 2)])
         p = d[np.minimum(count, K + 1)] * count / max(1, self.n)
         rest = 1 - float((p * types).sum())
-        if rest <= 1e-12 and self.n:
+        # Where discounts leave nothing for the unknown word, one count is set aside.
+        self.aside = rest <= 1e-12 and self.n > 0
+        if self.aside:
             p, rest = count / (self.n + 1), 1 / (self.n + 1)
         self.starts = np.concatenate(([0], np.cumsum(types))).astype(np.int64)
         self.count = np.append(count, 0).astype(np.int64)
@@ -372,14 +374,73 @@ def _scores(counts: Counts, d, base, spread, heavy_alpha):
     return run
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def _by_tables(docs: DataFrame, order: int) -> DataFrame:
+    """score_documents for any order, by joins of one table for each length of n-grams.
+
+    A text follows order - 1 end signs, so that each token has one n-gram of each length, and an n-gram's end is the
+    n-gram of the next shorter length. The table of a length has all n-grams, those not seen in training with count
+    0, each with its probability, found from that of its end: recursion goes up from single words. Frequent
+    histories and n-grams are aggregated before they are shuffled; joins on them are plain ones that AQE splits.
+    """
+    spark = docs.sparkSession
+    words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
+    end = F.array(F.xxhash64(F.lit("\n")))
+    tokens = F.concat(F.transform(words, lambda w: F.xxhash64(w)), end)
+    held = F.coalesce(F.col("held_out"), F.lit(False))
+    rows = table(docs.select("doc_id", held.alias("held_out"), tokens.alias("t")).withColumn("r", F.monotonically_increasing_id()), "rows")
+    padded = F.concat(*[end] * (order - 1), F.col("t"))
+    grams = rows.select("r", "held_out", F.explode(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.slice(padded, i, F.lit(order)))).alias("g"))
+    each = table(grams.groupBy("g", "r", "held_out").agg(F.count("*").alias("n")), "each")
+    counted = [table(each.groupBy("g").agg(F.sum(F.when(~F.col("held_out"), F.col("n")).otherwise(0)).alias("c")), f"grams{order}")]
+    for k in range(order - 1, 0, -1):
+        shorter = counted[0].groupBy(F.slice("g", 2, k).alias("g")).agg(F.sum("c").alias("c"))
+        counted.insert(0, table(shorter, f"grams{k}"))
+    # One row for each different count, at most sqrt(2 N).
+    classes = counted[0].where("c > 0").groupBy("c").agg(F.count("*").alias("types")).orderBy(F.desc("c")).toArrow()
+    counts = Counts(np.asarray(classes["c"], np.int64), np.asarray(classes["types"], np.int64))
+
+    def discounted(level):
+        """The discounted count of c, by what the level's counts of counts are."""
+        by = {r["c"]: r["n"] for r in level.where(F.col("c").between(1, K + 1)).groupBy("c").agg(F.count("*").alias("n")).collect()}
+        d = discounts([by.get(r, 0) for r in range(1, K + 2)])
+        return F.element_at(F.array(*[F.lit(float(x)) for x in d]), (F.least(F.col("c"), F.lit(K + 1)) + 1).cast("int")) * F.col("c")
+
+    c, unknown = F.col("c"), F.lit(float(counts.p[-1]))
+    single = c / F.lit(counts.n + 1) if counts.aside else discounted(counted[0]) / F.lit(max(1, counts.n))
+    level = counted[0].select("g", F.when(c > 0, single).otherwise(unknown).alias("p"), c.alias("c1"))
+    for k in range(2, order + 1):
+        d = discounted(counted[k - 1])
+        lower = level.select(F.col("g").alias("e"), F.col("p").alias("low"), "c1")
+        own = counted[k - 1].withColumns({"e": F.slice("g", 2, k - 1), "h": F.slice("g", 1, k - 1)}).join(lower, "e").select("g", "h", "c", "low", "c1", d.alias("d"))
+        own = table(own, f"joined{k}")
+        seen = own.where("c > 0").groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("mass"), F.sum("low").alias("under"))
+        full = F.col("mass") / F.col("total") >= 1 - 1e-12
+        scale = F.when(full, F.col("total") / (F.col("total") + 1.0)).otherwise(1.0)
+        seen = seen.select("h", (scale / F.col("total")).alias("weight"), (F.greatest(F.lit(0.0), 1 - F.col("mass") * scale / F.col("total")) / F.greatest(F.lit(1e-300), 1 - F.col("under"))).alias("alpha"))
+        p = F.when(c > 0, F.col("d") * F.col("weight")).otherwise(F.coalesce("alpha", F.lit(1.0)) * F.col("low"))
+        level = table(own.join(seen, "h", "left").select("g", p.alias("p"), "c1"), f"level{k}")
+    c1, n = F.col("c1"), F.col("n")
+    sums = each.join(level, "g").groupBy("r").agg(
+        F.sum(n).alias("n_tokens"), F.sum(F.when(c1 > 0, n).otherwise(0)).alias("n_known"),
+        F.sum(n * F.log10((c1 + 1) / F.lit(float(counts.n + counts.v + 1)))).alias("base_score"), F.sum(n * F.log10("p")).alias("score"),
+    )
+    return rows.join(sums, "r").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
     """Scores of docs (doc_id, text, held_out boolean) under the model of those that aren't held out.
 
+    order: length of the longest n-grams. For 2 pairs are counted from packed chunks, as told above; for others the
+    n-grams are rows of tables, which takes several times the disk.
     Returns doc_id, held_out, n_tokens, n_known, train_tokens (long), base_score and score (double, log10) of
     every row. Tokens are the words, lower-cased (A-Z), and one end; a null or empty text has the end only.
     A null held_out is false. Rows that repeat count and are scored each. Without training documents every
     token is unknown, with probability 1. Other columns are ignored; an empty table gives an empty table.
     """
+    if order < 1:
+        raise ValueError("order is 1 or more")
+    if order != 2:
+        return _by_tables(docs, order)
     spark = docs.sparkSession
     n = parts(spark)
     source = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))

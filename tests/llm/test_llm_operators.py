@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on nulls, ties, repeats, empty tables and clashing names."""
 
 import hashlib
+import functools
 import math
 import random
 import zlib
@@ -348,6 +349,66 @@ def test_katz_matches_brute_force(spark, monkeypatch, corpus, heavy, chunk):
         assert sum(prob(h, w) for w in one) + prob(h, b"?unknown?") == pytest.approx(1)
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_katz_of_other_orders_matches_brute_force(spark, corpus, order):
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    rows = [(i, t, held(i)) for i, t, *_ in corpus][:120] + [(-1, "", False), (-2, None, True), (-1, "a b a b a b", False), (-1, "a b a b a b", False)]
+    out = katz.score_documents(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), order).collect()
+    docs = [(i, [b"\n"] * (order - 1) + [*(t or "").encode().lower().split(), b"\n"], h) for i, t, h in rows]
+    grams = {k: Counter(tuple(t[j - k + 1 : j + 1]) for _, t, h in docs if not h for j in range(order - 1, len(t))) for k in range(1, order + 1)}
+    n, v, top = sum(grams[1].values()), len(grams[1]), katz.K + 1
+    disc = {k: katz.discounts([Counter(g.values())[r] for r in range(1, katz.K + 2)]) for k, g in grams.items()}
+    one = {g: disc[1][min(c, top)] * c / n for g, c in grams[1].items()}
+    unknown = 1 - sum(one.values())
+    if unknown <= 1e-12:
+        one, unknown = {g: c / (n + 1) for g, c in grams[1].items()}, 1 / (n + 1)
+    after = {k: defaultdict(list) for k in grams}
+    for k, g in grams.items():
+        for x in g:
+            after[k][x[:-1]].append(x)
+
+    @functools.cache
+    def history(h):
+        every = after[len(h) + 1][h]
+        total = sum(grams[len(h) + 1][x] for x in every)
+        mass = sum(disc[len(h) + 1][min(grams[len(h) + 1][x], top)] * grams[len(h) + 1][x] for x in every) / total
+        scale = total / (total + 1) if mass >= 1 - 1e-12 else 1
+        return total, scale, (1 - mass * scale) / (1 - sum(prob(x[1:]) for x in every))
+
+    def prob(x):
+        if len(x) == 1:
+            return one.get(x, unknown)
+        if not after[len(x)][x[:-1]]:
+            return prob(x[1:])
+        total, scale, alpha = history(x[:-1])
+        c = grams[len(x)][x]
+        return scale * disc[len(x)][min(c, top)] * c / total if c else alpha * prob(x[1:])
+
+    want = Counter()
+    for i, t, h in docs:
+        own = t[order - 1 :]
+        base = sum(math.log10((grams[1][(w,)] + 1) / (n + v + 1)) for w in own)
+        score = sum(math.log10(prob(tuple(t[j - order + 1 : j + 1]))) for j in range(order - 1, len(t)))
+        want[i, h, len(own), sum((w,) in grams[1] for w in own), n, round(base, 5), round(score, 5)] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in out) == want
+    for h in list(after[order])[:5]:
+        assert sum(prob((*h, *w)) for w in grams[1]) + prob((*h, b"?unknown?")) == pytest.approx(1)
+
+
+def test_katz_by_tables_of_order_two_is_the_packed_one(spark, corpus):
+    d = spark.createDataFrame([(i, t, (i or 0) % 3 == 0) for i, t, *_ in corpus], "doc_id long, text string, held_out boolean")
+    key = lambda rows_: Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in rows_)
+    assert key(katz._by_tables(d, 2).collect()) == key(katz.score_documents(d).collect())
+
+
+def test_katz_of_other_orders_without_training(spark):
+    assert katz.score_documents(spark.createDataFrame([], "doc_id long, text string, held_out boolean"), 3).collect() == []
+    out = katz.score_documents(spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, held_out boolean"), 3).collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out] == [(3, 0, 0, 0.0, 0.0)]
+    with pytest.raises(ValueError):
+        katz.score_documents(spark.createDataFrame([], "doc_id long, text string, held_out boolean"), 0)
+
+
 def test_katz_without_training(spark):
     assert katz.score_documents(spark.createDataFrame([], "doc_id long, text string, held_out boolean")).collect() == []
     out = katz.score_documents(spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, held_out boolean")).collect()
