@@ -64,8 +64,7 @@ def paths(edges: DataFrame, roots: DataFrame, graph: list[str], max_depth: int =
                 cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
                 return pa.RecordBatch.from_arrays(keys + cols, names=[f.name for f in schema])
 
-            for row in range(b.num_rows):
-                entry, exit, src, dst, cond = (b.column(i)[row].as_py() for i in range(k, k + 5))
+            for row, (entry, exit, src, dst, cond) in enumerate(zip(*[b.column(i).to_pylist() for i in range(k, k + 5)], strict=True)):
                 after: dict = {}
                 for s, d, c in zip(src or (), dst or (), cond or (), strict=True):
                     after.setdefault(s, []).append((d, c))
