@@ -268,14 +268,19 @@ SELECT module, score, ['Clean', 'Low', 'Medium', 'High', 'Critical'][greatest(co
 
 
 def project_hidden_modules(spark, sf_dir):
-    """Modules missing from the manifest, and locked projects, over samples."""
-    d = spark.createDataFrame([("p", "A"), ("p", "Ghost"), ("q", "B")], "project string, module string")
-    m = spark.createDataFrame([("p", "a"), ("q", "B")], "project string, module string")
-    a = spark.createDataFrame([("p", "CMG"), ("p", "DPB"), ("q", "Name")], "project string, name string")
-    return stomping.project_findings(d, m, a, ["project"]).select("project", "kind", "severity", F.coalesce("detail", F.lit("")).alias("detail"))
-
-
-_HIDDEN = "SELECT * FROM (VALUES ('p', 'HiddenGuiModule', 'High', 'Ghost'), ('p', 'ProjectLockedOrUnviewable', 'Low', '')) t(project, kind, severity, detail)"
+    """Parts as modules of their brands' projects, those of returned line items in the manifest, attributes by size."""
+    part = _table(spark, sf_dir, "part")
+    d = part.select(F.col("p_brand").alias("project"), F.concat(F.lit("Mod"), "p_partkey").alias("module"), "p_partkey")
+    returned = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_discount > 0.09").select(F.col("l_partkey").alias("p_partkey"))
+    listed = d.join(returned, "p_partkey", "left_semi").select("project", F.lower("module").alias("module"))
+    name = F.when(F.col("p_size") == 1, "CMG").when(F.col("p_size") == 2, "dpb").otherwise("Name")
+    a = part.select(F.col("p_brand").alias("project"), F.when(F.col("p_retailprice") > 1000, name).otherwise("Name").alias("name"))
+    return stomping.project_findings(d.drop("p_partkey"), listed, a, ["project"]).select("project", "kind", "severity", F.coalesce("detail", F.lit("")).alias("detail"))
+
+
+_HIDDEN = """
+SELECT p_brand AS project, 'HiddenGuiModule' AS kind, 'High' AS severity, 'Mod' || p_partkey AS detail FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.09)
+UNION ALL SELECT DISTINCT p_brand, 'ProjectLockedOrUnviewable', 'Low', '' FROM part WHERE p_size IN (1, 2) AND p_retailprice > 1000"""
 
 
 def finding_score_rollup(spark, sf_dir):
