@@ -251,15 +251,17 @@ _JSON = f"SELECT module, severity, score, first_kind FROM ({_JSON})"
 
 
 def formula_evaluation(spark, sf_dir):
-    """A formula for each part, evaluated over a sheet of its brand's cells."""
+    """A formula for each part, evaluated over the sheets of its brand's cells."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    base = part.select(F.col("p_brand").alias("path"), F.lit("S").alias("sheet"), F.col("p_partkey").alias("row"), "p_name", "p_size", "p_retailprice")
+    # A million parts a sheet, which has rows for no more.
+    base = part.select(F.col("p_brand").alias("path"), F.floor(F.col("p_partkey") / 1000000).cast("string").alias("sheet"), (F.pmod("p_partkey", F.lit(1000000)) + 1).alias("row"), "p_partkey", "p_name", "p_size")
     a = base.select("path", "sheet", "row", F.lit(1).cast("long").alias("col"), F.concat(F.lit("A"), "row").alias("cell"), F.col("p_size").cast("string").alias("value"), F.lit(None).cast("string").alias("formula"))
     b = base.select("path", "sheet", "row", F.lit(2).cast("long"), F.concat(F.lit("B"), "row"), F.col("p_name"), F.lit(None).cast("string"))
     text = F.format_string('IF(A%d>25,"big","small")&"-"&LEN(B%d)&"-"&CHAR(65+MOD(A%d,26))&"-"&UPPER(LEFT(B%d,3))', "row", "row", "row", "row")
-    c = base.where("row > 0").select("path", "sheet", "row", F.lit(3).cast("long"), F.concat(F.lit("C"), "row"), F.lit(None).cast("string"), text)
+    c = base.where("p_partkey > 0").select("path", "sheet", "row", F.lit(3).cast("long"), F.concat(F.lit("C"), "row"), F.lit(None).cast("string"), text)
     out = workbook.evaluate(a.unionAll(b).unionAll(c))
-    return out.select("path", "cell", F.coalesce("result", F.lit("")).alias("result"), F.coalesce("error", F.lit("")).alias("error"))
+    key = F.col("sheet").cast("long") * 1000000 + F.substring("cell", 2, 7).cast("long") - 1
+    return out.select("path", F.concat(F.lit("C"), key).alias("cell"), F.coalesce("result", F.lit("")).alias("result"), F.coalesce("error", F.lit("")).alias("error"))
 
 
 _FORMULA = "SELECT p_brand AS path, 'C' || p_partkey AS cell, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END || '-' || length(p_name) || '-' || chr(65 + p_size % 26) || '-' || upper(left(p_name, 3)) AS result, '' AS error FROM part WHERE p_partkey > 0"

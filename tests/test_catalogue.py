@@ -36,3 +36,13 @@ def test_query_matches_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
+
+
+def test_formulas_of_parts_beyond_the_rows_of_a_sheet(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW one AS SELECT * FROM '{SF}/part.parquet' ORDER BY p_partkey LIMIT 12")
+    con.execute(f"COPY (SELECT p_partkey + r AS p_partkey, * EXCLUDE (p_partkey, r) FROM one, (VALUES (0), (999994), (1048570), (1999994), (123456789)) t(r)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    got = catalogue.queries()["formula_evaluation"](spark, str(tmp_path)).toArrow()
+    assert got.num_rows == 59
+    assert rows(got) == rows(con.sql(catalogue.oracle_sql()["formula_evaluation"]).to_arrow_table())
