@@ -376,14 +376,17 @@ def dollarfr(x, fraction: int):
 
 # Cell addresses
 def column_label(n):
-    """A..XFD of a column's number from 1."""
-    a = lambda k: F.chr(F.lit(65) + k)
-    last = F.pmod(n - 1, F.lit(26))
-    mid = F.floor((n - 1 - 26) / 26)
-    two = F.pmod(mid, F.lit(26))
-    three = F.floor((mid - 26) / 26)
-    return F.when(n.between(1, 26), a(last)).when(n.between(27, 702), F.concat(a(two), a(last))).when(n.between(703, 16384), F.concat(a(three), a(two), a(last)))
+    """A..XFD of a column's number from 1, and on beyond a sheet's columns."""
+    # The digit of 26**k stands from the number on whose digits all are A; 14 digits are those of a long.
+    n, out = n.cast("long"), []
+    for k in reversed(range(14)):
+        least = (26 ** (k + 1) - 1) // 25
+        digit = F.pmod(F.call_function("div", n - least, F.lit(26**k)), F.lit(26))
+        out.append(F.when(n >= least, F.chr(F.lit(65) + digit)).otherwise(""))
+    return F.when(n >= 1, F.concat(*out))
 
 
 def column_number(label):
-    return F.when(label.rlike("^[A-Za-z]{1,3}$"), _fold(F.transform(F.split(F.upper(label), ""), lambda c: F.ascii(c) - 64), F.lit(0), lambda acc, v: F.when(v > 0, acc * 26 + v).otherwise(acc)))
+    """The number of a label of any length, null where it is beyond a long."""
+    letters = F.transform(F.split(F.upper(label), ""), lambda c: F.ascii(c) - 64)
+    return F.when(label.rlike("^[A-Za-z]+$"), _fold(letters, F.lit(0).cast("long"), lambda acc, v: F.when(v > 0, F.try_add(F.try_multiply(acc, F.lit(26)), v)).otherwise(acc)))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tamarack.functions import excel, vba
+from tamarack.functions import excel, formula, vba
 from tamarack.operators import exports, facts, graphs, joins, rules, stomping, text
 from tamarack.operators import vba as parsed
 from tamarack.sources import containers, formats, workbook
@@ -98,6 +98,16 @@ def test_scalar_corners(spark):
     assert [r[0] for r in fnv] == ["CBF29CE484222325", "AF63DC4C8601EC8C", "85944171F73967E8"]
 
 
+def test_columns_beyond_a_sheet(spark):
+    ns = [1, 26, 27, 702, 703, 16384, 16385, 18278, 18279, 475254, 475255, 2**53 + 1, 26**13, 2**63 - 1]
+    d = spark.createDataFrame([(n, formula.column_label(n)) for n in ns], "n long, want string")
+    label = excel.column_label(F.col("n"))
+    got = d.select("n", "want", label.alias("label"), excel.column_number(label).alias("back")).collect()
+    assert [(r.label, r.back) for r in got] == [(r.want, r.n) for r in got] and len(got) == len(ns)
+    bad = d.limit(1).select(excel.column_label(F.lit(-(2**63))), excel.column_label(F.lit(0)), excel.column_label(F.lit(None).cast("long")), excel.column_number(F.lit("A1")), excel.column_number(F.lit("")), excel.column_number(F.lit("Z" * 40))).first()
+    assert tuple(bad) == (None,) * 6
+
+
 def test_decode_bytes(spark):
     d = spark.createDataFrame([(b"\xef\xbb\xbfhi", None), ("hé".encode("utf-16"), None), (b"\xff", None), (b"\xe9", 1252), ("é".encode(), 65001)], "b binary, cp int")
     assert [r[0] for r in d.select(text.decode_bytes(F.col("b"), F.col("cp"))).collect()] == ["hi", "hé", None, "é", "é"]
